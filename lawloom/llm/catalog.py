@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from lawloom.llm.encoding_repair import p4_found
 from lawloom.llm.near_duplicates import p5_found, p5_groups
+from lawloom.llm.splitting import p3_found, p3_pieces
 
-QUERIES = {"p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
+QUERIES = {"p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups}
 ORACLES: dict[str, str] = {}
