@@ -103,12 +103,14 @@ def _signatures(tok: np.ndarray, sizes: np.ndarray, threshold: float, segments:
             total = np.bincount(at, part, base[-1])
             count = np.bincount(at, minlength=base[-1])
             owner = np.repeat(docs, m[docs])
-            salt = _mix(np.repeat(seed, m[docs]) + (np.arange(base[-1]) - np.repeat(base[:-1], m[docs])).astype(_U))
-            keep = np.flatnonzero(count >= min_tokens)
+            number = np.arange(base[-1]) - np.repeat(base[:-1], m[docs])
+            wanted = number < segments - r * np.repeat(m[docs], m[docs])  # the last partition fills up the number of segments
+            salt = _mix(np.repeat(seed, m[docs]) + number.astype(_U))
+            keep = np.flatnonzero((count >= min_tokens) & wanted)
             who.append(owner[keep])
             sig.append(_mix(total[keep].astype(_U) ^ salt[keep]))
             dele.append(np.zeros(len(keep), bool))
-            big = np.flatnonzero(count[at] >= deletion_tokens)
+            big = np.flatnonzero(((count >= deletion_tokens) & wanted)[at])
             a = at[big]
             who.append(owner[a])
             sig.append(_mix((total[a] - part[big]).astype(_U) ^ salt[a]))
@@ -211,8 +213,8 @@ def normalized_text(*columns: str):
 
 
 def near_duplicate_classes(
-    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, segments: int = 80, per_segment: float = 5.0,
-    min_tokens: int = 3, deletion_tokens: int = 9, signatures_per_bucket: int = 1_000_000,
+    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, segments: int = 140, per_segment: float = 4.5,
+    min_tokens: int = 4, deletion_tokens: int = 12, signatures_per_bucket: int = 1_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has record_id and class_id, one row per record with a text; records of equal
     text form a class. links has class_a < class_b and similarity, one row per pair of classes with Jaccard similarity
@@ -225,7 +227,7 @@ def near_duplicate_classes(
     base = records.select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
     base = base.select("record_id", "t", F.xxhash64("t").alias("class_id"))
     rows = records.count()
-    buckets = max(12, -(-rows * segments * 3 // signatures_per_bucket))
+    buckets = max(12, -(-rows * segments * 2 // signatures_per_bucket))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
