@@ -3,10 +3,16 @@
 from __future__ import annotations
 
 from lawloom.llm.encoding_repair import p4_found
+from lawloom.llm.mixing import p7_mixture, p7_shares
 from lawloom.llm.near_duplicates import p5_found, p5_groups
+from lawloom.llm.packing import p6_fill, p6_packing
 from lawloom.llm.reply_defects import p2_found
 from lawloom.llm.sentences import p8_found, p8_sentences
 from lawloom.llm.splitting import p3_found, p3_pieces
 
-QUERIES = {"p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups, "p8_found": p8_found, "p8_sentences": p8_sentences}
+QUERIES = {
+    "p2_found": p2_found, "p3_found": p3_found, "p3_pieces": p3_pieces, "p4_found": p4_found, "p5_found": p5_found, "p5_groups": p5_groups,
+    "p6_packing": p6_packing, "p6_fill": p6_fill, "p7_mixture": p7_mixture, "p7_shares": p7_shares, "p8_found": p8_found, "p8_sentences": p8_sentences,
+}
+#: None of these operators has a plain SQL form; they are tested against brute force, round trips and held-out rows.
 ORACLES: dict[str, str] = {}
