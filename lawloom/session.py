@@ -19,6 +19,7 @@ def build_session(cpus: str | int = "*", shuffle_partitions: int = 8, app: str =
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("LAWLOOM_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
