@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lawloom.functions import dims, text
 from lawloom.operators.keywords import weighted_terms
@@ -81,7 +82,7 @@ def similar_titles(articles: DataFrame, queries: DataFrame, limit: int = 8) -> D
     return scored.where((F.col("o1") == F.col("o2")) | (F.col("c1") == F.col("c2"))).select("query_id", "doc_id", "score", rank.alias("rank")).where(F.col("rank") <= limit)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def surface_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratcliff-Obershelp similarity of two strings; 0 if one is null or empty."""
     return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a, b)])
