@@ -1 +1,49 @@
-from lawloom.plans.catalog import query  # noqa: F401
+"""Filters, joins, conditional aggregates and rankings at volume, over the fact tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lawloom.operators.search import latest_by
+from lawloom.plans.catalog import query
+from lawloom.session import table
+
+
+@query("""
+SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2
+""")
+def line_totals(spark, root) -> DataFrame:
+    li = table(spark, root, "lineitem").where(F.col("l_shipdate") <= F.lit("1998-09-02").cast("timestamp_ntz"))
+    return li.groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("sum_qty"), F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("sum_disc"), F.count("*").alias("n"))
+
+
+@query("SELECT o_orderpriority, count(*) AS n FROM orders o WHERE EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag = 'R') GROUP BY 1")
+def orders_with_returns(spark, root) -> DataFrame:
+    returned = table(spark, root, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, root, "orders").join(returned, "o_orderkey", "left_semi").groupBy("o_orderpriority").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P')")
+def customers_without_partial_orders(spark, root) -> DataFrame:
+    return table(spark, root, "customer").join(table(spark, root, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1")
+def last_orders(spark, root) -> DataFrame:
+    return latest_by(table(spark, root, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+@query("""
+SELECT n_name, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal < 5000 THEN 'small' ELSE 'large' END AS band, count(*) AS n FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey WHERE r_name IN ('ASIA', 'EUROPE') GROUP BY 1, 2
+""")
+def customers_by_band(spark, root) -> DataFrame:
+    band = F.when(F.col("c_acctbal") < 0, "debt").when(F.col("c_acctbal") < 5000, "small").otherwise("large")
+    n = table(spark, root, "nation").join(table(spark, root, "region").where(F.col("r_name").isin("ASIA", "EUROPE")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return table(spark, root, "customer").join(n, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name", band.alias("band")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_type, date_trunc('day', ts) AS day, count(*) AS n, count(DISTINCT user_id) AS users, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY 1, 2")
+def events_by_day(spark, root) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("bigint")
+    return table(spark, root, "events").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"), F.sum(k).alias("k"))

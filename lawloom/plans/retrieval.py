@@ -110,10 +110,10 @@ def document_chunks(spark, root) -> DataFrame:
     return retrieval.chunks(table(spark, root, "documents"), "doc_id", "title", "text").select("chunk_id", "doc_id", "chunk_no", F.length("text").alias("chars"))
 
 
-@query("SELECT substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS point_id, doc_id FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '#0') AS m FROM documents WHERE doc_id % 3 <> 0)")
+@query("SELECT substr(m, 1, 8) || '-' || substr(m, 9, 4) || '-' || substr(m, 13, 4) || '-' || substr(m, 17, 4) || '-' || substr(m, 21, 12) AS point_id, doc_id FROM (SELECT doc_id, md5(CAST(doc_id AS VARCHAR) || '#0') AS m FROM documents WHERE lang IS DISTINCT FROM 'ko')")
 def vectors_to_add(spark, root) -> DataFrame:
-    d = table(spark, root, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"))
-    stored = d.where("doc_id % 3 = 0").select(text.stable_id(F.col("chunk_id")).alias("point_id"))
+    d = table(spark, root, "documents").select("doc_id", "lang", F.concat(F.col("doc_id").cast("string"), F.lit("#0")).alias("chunk_id"))
+    stored = d.where("lang = 'ko'").select(text.stable_id(F.col("chunk_id")).alias("point_id"))
     return retrieval.missing_vectors(d, stored).select("point_id", "doc_id")
 
 
