@@ -152,10 +152,11 @@ def _month_index(day: Column) -> Column:
 _CELL = ["_src", "f1", "mon1", "f2", "mon2"]
 
 
-def fit_cells(cells: pd.DataFrame, declared: str | None, iterations: int = 50, strength: float = 4.0) -> pd.DataFrame:
+def fit_cells(cells: pd.DataFrame, declared: str | None, iterations: int = 50, strength: float = 1000.0) -> pd.DataFrame:
     """EM for one source. Each cell (formats, months, number of values n) adds likelihood to its one or two readings;
     unknown are the format weights and the density over months. ``declared`` (mdy, dmy) enters as a Dirichlet prior of
-    ``strength`` times the number of ambiguous values. Returns ``cells`` with ``post1``, the posterior of reading 1."""
+    ``strength`` times the number of ambiguous values: a declared order is documentation, only a source without one is
+    decided by its values alone. Returns ``cells`` with ``post1``, the posterior of reading 1."""
     cells = cells.copy()
     two = cells.f2.notna().to_numpy()
     n = cells.n.to_numpy(float)
@@ -184,7 +185,7 @@ def fit_cells(cells: pd.DataFrame, declared: str | None, iterations: int = 50, s
 
 def normalize_timestamps(
     articles: DataFrame, sources: DataFrame, fields: tuple[str, ...] = ("published_at", "first_seen_at", "effective_date"), id_col: str = "id",
-    source_col: str = "source_system", cutoff: float = 0.9, iterations: int = 50, strength: float = 4.0,
+    source_col: str = "source_system", cutoff: float = 0.9, iterations: int = 50, strength: float = 1000.0,
 ) -> DataFrame:
     """One row per non-null value of ``fields``: article_id, field_name, raw_value, format, norm_value, posterior, status.
 

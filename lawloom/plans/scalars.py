@@ -9,6 +9,7 @@ from lawloom.functions import dims, text
 from lawloom.plans import fragments as q
 from lawloom.plans.catalog import query
 from lawloom.session import table
+from lawloom.sources.html import html_links, html_text
 
 _WSC = "[\\s\\x{0b}\\x{1c}-\\x{1f}\\x{85}\\p{Z}]+"
 
@@ -119,3 +120,8 @@ SELECT id, regexp_replace(regexp_replace(regexp_replace(last_error, '(key=)[^&\\
 """)
 def masked_errors(spark, root) -> DataFrame:
     return table(spark, root, "attachments").where("last_error is not null").select("id", text.mask_secrets(F.col("last_error")).alias("message"))
+
+
+@query()
+def article_html_texts(spark, root) -> DataFrame:
+    return table(spark, root, "articles").where("content_html is not null").select("id", html_text(F.col("content_html")).alias("html_text"), html_links(F.col("content_html"), F.col("detail_url")).alias("files"))
