@@ -35,8 +35,9 @@ def _joined(text: str, at: int) -> bool:
     return bool(_MARKS.match(ch)) or unicodedata.combining(ch) > 0 or text[at - 1] == "‍" or (ch == "\n" and text[at - 1] == "\r")
 
 
-def _atoms(text: str, size: int) -> tuple[list[int], list[int]]:
-    """Ends of the atomic segments and the strength of the boundary at each end. No segment exceeds ``size``."""
+def _atoms(text: str, size: int, first: int) -> tuple[list[int], list[int]]:
+    """Ends of the atomic segments and the strength of the boundary at each end. No segment exceeds ``size``, the one at
+    the start of the text, which needs no room for overlap, ``first``."""
     ends, strengths = [], []
     for m in _COARSE.finditer(text):
         if m.lastgroup == "break":
@@ -55,23 +56,23 @@ def _atoms(text: str, size: int) -> tuple[list[int], list[int]]:
         if e - at > size:
             for m in _FINE.finditer(text, at, e):
                 if m.end() < e:
-                    _cut_word(text, out_e[-1] if out_e else 0, m.end(), size, out_e, out_s)
+                    _cut_word(text, out_e[-1] if out_e else 0, m.end(), size, first, out_e, out_s)
                     out_e.append(m.end())
                     out_s.append(CLAUSE if m.lastgroup == "clause" else SPACE)
-        _cut_word(text, out_e[-1] if out_e else 0, e, size, out_e, out_s)
+        _cut_word(text, out_e[-1] if out_e else 0, e, size, first, out_e, out_s)
         out_e.append(e)
         out_s.append(s)
         at = e
     return out_e, out_s
 
 
-def _cut_word(text: str, a: int, b: int, size: int, ends: list[int], strengths: list[int]) -> None:
-    while b - a > size:
-        cut = a + size
+def _cut_word(text: str, a: int, b: int, size: int, first: int, ends: list[int], strengths: list[int]) -> None:
+    while b - a > (most := first if a == 0 else size):
+        cut = a + most
         while cut > a + 1 and _joined(text, cut):
             cut -= 1
         if cut == a + 1:  # marks without end: cut among them rather than exceed the limit
-            cut = a + size
+            cut = a + most
         ends.append(cut)
         strengths.append(NONE)
         a = cut
@@ -88,7 +89,7 @@ def split_text(text: str, max_chars: int, overlap: int) -> list[tuple[int, int,
     if len(text) <= max_chars:
         return [(0, 0, len(text), "end")]
     room = max_chars - overlap
-    ends, strengths = _atoms(text, room)
+    ends, strengths = _atoms(text, room, max_chars)
     n = len(ends)
     start = [0, *ends[:-1]]
     following, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
