@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lawloom.functions.text import retrieval_tokens, stable_id
+from lawloom.session import materialize, spread
 
 
 def chunk_bounds(text: str, size: int = 1200, overlap: int = 160) -> list[tuple[int, int]]:
@@ -44,29 +45,40 @@ def chunks(documents: DataFrame, id_col: str, title_col: str, text_col: str, siz
 
 
 class Bm25Index:
-    """Postings (doc_id, term, tf), document lengths and document frequencies, each aggregated once."""
+    """BM25 over documents of tokens. ``postings`` (doc_id, dl, term, tf) and ``frequencies`` (term, df) describe the whole
+    collection; a search touches only the postings of its own terms, cut out before anything is shuffled."""
 
     def __init__(self, documents: DataFrame, id_col: str, tokens: Column, k1: float = 1.5, b: float = 0.75):
         self.k1, self.b = k1, b
-        rows = documents.select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
-        self.lengths = rows.select("doc_id", F.size("tokens").alias("dl"))
-        self.postings = rows.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        self.frequencies = self.postings.groupBy("term").agg(F.count("*").alias("df"))
-        stats = self.lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+        rows = spread(documents).select(F.col(id_col).alias("doc_id"), tokens.alias("tokens"))
+        stats = rows.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl")).first()
         self.n, self.avgdl = stats.n, stats.avgdl or 1.0
+        self.words = rows.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._count(self.words)
+
+    @property
+    def frequencies(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @staticmethod
+    def _count(words: DataFrame) -> DataFrame:
+        return words.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
     def search(self, queries: DataFrame, limit: int = 50, skip_self: bool = False) -> DataFrame:
         """query_id, doc_id, score, rank for ``queries`` (query_id, tokens), repeated tokens weighing as often as they
-        occur. Only postings of query terms are joined; of each query the best ``limit`` remain."""
+        occur; of each query the best ``limit``. The postings of the query terms are written once: their counts are the
+        document frequencies, their rows the hits."""
         q = queries.select("query_id", F.explode("tokens").alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+        own = materialize(self._count(self.words.join(q.select("term").distinct(), "term", "left_semi")), "postings")
         df = F.col("df").cast("double")
         idf = F.log(1 + (self.n - df + 0.5) / (df + 0.5))
-        q = q.join(self.frequencies, "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
-        # the saturated tf depends on the document alone: computed once for each posting, before the join
-        dl = F.greatest(F.col("dl"), F.lit(1)).cast("double")
-        sat = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * dl / self.avgdl))
-        weighted = self.postings.join(self.lengths, "doc_id").select("doc_id", "term", sat.alias("sat"))
-        hits = q.join(weighted, "term")
+        weighted = q.join(own.groupBy("term").agg(F.count("*").alias("df")), "term").select("query_id", "term", (F.col("qtf") * idf).alias("w"))
+        # the saturated tf depends on the document alone
+        sat = F.col("tf") * (self.k1 + 1) / (F.col("tf") + self.k1 * (1 - self.b + self.b * F.greatest("dl", F.lit(1)).cast("double") / self.avgdl))
+        hits = weighted.join(own.select("doc_id", "term", sat.alias("sat")), "term")
         if skip_self:
             hits = hits.where("query_id <> doc_id")
         scored = hits.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("sat")).alias("score")).where("score > 0")

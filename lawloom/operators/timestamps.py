@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions.civil import clock_micros, day_number, iso_day, iso_instant, wall_to_utc_micros
+from lawloom.session import spread
 
 # Characters that other input systems write for the plain ones.
 _WIDE = "０１２３４５６７８９．－／：，（）"
@@ -198,7 +199,7 @@ def normalize_timestamps(
     """
     spark = articles.sparkSession
     stacked = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("raw_value")) for f in fields]))
-    rows = articles.select(F.col(id_col).cast("bigint").alias("article_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), stacked.alias("_v"))
+    rows = spread(articles.select(id_col, source_col, *fields)).select(F.col(id_col).cast("bigint").alias("article_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("_src"), stacked.alias("_v"))
     rows = rows.select("article_id", "_src", "_v.field_name", "_v.raw_value").where("raw_value is not null")
     parsed = _parses(rows, "raw_value").withColumn("mon1", _month_index(F.col("day1"))).withColumn("mon2", _month_index(F.col("day2")))
     parsed = _fence(parsed, ["article_id", "field_name", "raw_value", "_c", "_clock", "_offset", "_region", "day1", "day2", *_CELL])

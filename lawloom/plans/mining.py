@@ -9,7 +9,7 @@ from lawloom.functions import dims, text
 from lawloom.operators import keywords as K
 from lawloom.plans import fragments as q
 from lawloom.plans.catalog import query
-from lawloom.session import table
+from lawloom.session import spread, table
 
 _ENDING = "(?:" + "|".join(sorted(dims.PARTICLES, key=lambda p: (-len(p), p))) + ")$"
 _STOP = ["점검", "결과", "관련"]
@@ -33,7 +33,7 @@ def _dictionaries(spark) -> dict[str, DataFrame]:
 
 
 def _words(spark, root, tokens, target="title", keep=()):
-    a = table(spark, root, "articles")
+    a = spread(table(spark, root, "articles").select("id", "title", "content_text", "published_at"))
     for name, column in keep:
         a = a.withColumn(name, column)
     return K.words_of(a, tokens(K.target_text(target)), **_dictionaries(spark), keep=tuple(n for n, _ in keep))
