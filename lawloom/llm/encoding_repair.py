@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawloom.session import spread
+
 # Chains of (written in, read in) that occur between Korean and Western systems; the last may lose bytes.
 CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
     "utf8>cp1252": (("utf-8", "cp1252"),),
@@ -243,7 +245,7 @@ def repair_encoding(records: DataFrame, model: ChainModel, fields: tuple[str, ..
     their names, are ignored; whole texts are read however long; an empty table gives an empty result.
     """
     value = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).cast("string").alias("value")) for f in fields])).alias("v")
-    rows = records.select(F.col(id_col).cast("bigint").alias("article_id"), value).select("article_id", "v.field_name", "v.value")
+    rows = spread(records.select(id_col, *fields)).select(F.col(id_col).cast("bigint").alias("article_id"), value).select("article_id", "v.field_name", "v.value")
     rows = rows.where(F.col("value").rlike(_ODD_JAVA))
     shared = records.sparkSession.sparkContext.broadcast((model.labels, model.weights))  # fixed size: labels x 16384 floats
 

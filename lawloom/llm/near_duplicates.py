@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.session import materialize
+from lawloom.session import materialize, spread
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
@@ -194,15 +194,20 @@ def _pairs(blobs: list[bytes], threshold: float, chunk: int = 1_000_000) -> Iter
         at = stop
 
 
-def _similarities(left: list[str], right: list[str], width: int) -> np.ndarray:
-    both, sizes = shingle_sets([*left, *right], width)
+def _similarities(left: list[int], right: list[int], texts: dict[int, str], width: int) -> np.ndarray:
+    """Jaccard similarity of the shingle sets of the pairs of classes; each text is cut once however many pairs it has."""
+    ids = sorted(texts)
+    tok, sizes = shingle_sets([texts[i] for i in ids], width)
     start = np.concatenate([[0], np.cumsum(sizes)])
-    n = len(left)
-    out = np.zeros(n)
-    for i in range(n):
-        a, b = both[start[i] : start[i + 1]], both[start[n + i] : start[n + i + 1]]
-        c = len(np.intersect1d(a, b, assume_unique=True))
-        out[i] = c / max(1, len(a) + len(b) - c)
+    sets = {i: tok[start[k] : start[k + 1]] for k, i in enumerate(ids)}
+    out = np.zeros(len(left))
+    for k, (x, y) in enumerate(zip(left, right)):
+        a, b = sets[x], sets[y]
+        if len(a) > len(b):
+            a, b = b, a
+        if len(a):
+            common = int((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).sum())
+            out[k] = common / (len(a) + len(b) - common)
     return out
 
 
@@ -224,7 +229,7 @@ def near_duplicate_classes(
     they are members of a class without links. Repeated ids, other columns and empty tables do no harm; whole texts
     are compared however long.
     """
-    base = records.select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
+    base = spread(records).select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
     base = base.select("record_id", "t", F.xxhash64("t").alias("class_id"))
     rows = records.count()
     buckets = max(12, -(-rows * segments * 2 // signatures_per_bucket))
@@ -271,9 +276,10 @@ def near_duplicate_classes(
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 500):
-                p = pdf.iloc[at : at + 500]
-                s = _similarities(p.ta.tolist(), p.tb.tolist(), width)
+            for at in range(0, len(pdf), 1000):
+                p = pdf.iloc[at : at + 1000]
+                texts = dict(zip(p.class_a.tolist(), p.ta)) | dict(zip(p.class_b.tolist(), p.tb))
+                s = _similarities(p.class_a.tolist(), p.class_b.tolist(), texts, width)
                 ok = s >= threshold - 1e-12
                 yield pd.DataFrame({"class_a": p.class_a[ok], "class_b": p.class_b[ok], "similarity": s[ok]})
 

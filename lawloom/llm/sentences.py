@@ -18,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawloom.session import spread
+
 # Marks of list items, brackets, quotation marks, terminators.
 _MARKER = re.compile(
     r"[ \t　]*(?:[□■○●◦◆◇▶▷▪▫•‣ㅇ※·☞★☆✓\-–—*+][ \t]+|[□■○●◆◇▶▷•ㅇ※☞①-⑳㉠-㉻⒜-⒵]"
@@ -347,7 +349,7 @@ def corpus_evidence(documents: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["kind", "key", "x", "y", "z", "bare"])
 
     sums = (
-        documents.select(F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
+        spread(documents.select(text_col)).select(F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
         .mapInPandas(count, "kind string, key string, x bigint, y bigint, z bigint, bare bigint")
         .groupBy("kind", "key").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("z").alias("z"), F.sum("bare").alias("bare"))
     )
@@ -383,7 +385,7 @@ def sentences(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             rows = [(i, n, s, e, t[s:e]) for i, t in zip(pdf.i, pdf.t) for n, (s, e) in enumerate(split_sentences(t, evidence))]
             yield pd.DataFrame(rows, columns=["doc_id", "sentence_no", "start_pos", "end_pos", "sentence"])
 
-    rows = documents.select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
+    rows = spread(documents.select(id_col, text_col)).select(F.col(id_col).cast("bigint").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.length("t") > 0)
     return rows.mapInPandas(cut, "doc_id bigint, sentence_no int, start_pos int, end_pos int, sentence string")
 
 

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lawloom.session import spread
+
 #: Where the vocabulary files lie, and which one is used unless a caller names another.
 TOKENIZER_DIR = os.environ.get("LAWLOOM_TOKENIZERS", "/opt/tokenizers")
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -32,7 +34,7 @@ def encoding(path: str):
 def token_counts(records: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = (), path: str | None = None) -> DataFrame:
     """item_id, n_tokens (null and empty texts 0) and the columns ``keep``. Texts never leave the task that reads them."""
     path = path or f"{TOKENIZER_DIR}/{RANKS}"
-    rows = records.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("_text"), *keep)
+    rows = spread(records.select(id_col, text_col, *keep)).select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).cast("string").alias("_text"), *keep)
     types = "".join(f", `{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
