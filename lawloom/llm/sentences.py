@@ -79,7 +79,7 @@ def _real_marker(text: str, a: int, line: int, end: int, b: int) -> bool:
     before = text[a:line].rstrip()
     if rest[:1].isdigit() or rest.startswith(_MONTHS_DE):
         return False
-    if re.search(r"\d\.$", before) or (before and before[-1] not in _ENDS and rest[:1].islower()):
+    if re.search(r"\d{4}\. ?\d{1,2}\.$", before) or (before and before[-1] not in _ENDS and rest[:1].islower()):
         return False
     return not re.search(r"(?:\b(?:am|zum|vom|bis|und|der|dem|den|ab|No|Nr|제)|[,;(])$", before)
 
@@ -128,6 +128,11 @@ class Evidence:
         self.abbreviations, self.starts = abbreviations, starts
 
 
+def _small(after: str) -> bool:
+    """Whether what follows opens with a small letter; names like iTrade count as capitalised."""
+    return after[0].islower() and not re.match(r"[a-z]{1,2}[A-Z]", after)
+
+
 def _token_before(text: str, a: int, i: int) -> str:
     m = _TOKEN.search(text, max(a, i - 40), i)
     return m.group() if m else ""
@@ -153,7 +158,7 @@ def _observe(text: str) -> tuple[Counter, Counter, Counter]:
             after = text[i + 1 : stop].lstrip()
             if not after or (after[0] in _CLOSERS and len(after) == 1):
                 tokens[token, "end"] += 1
-            elif after[0] in ",;:" or after[0].islower() or after[0].isdigit() or (after[0] == ")" and after[1:].lstrip()[:1].islower()):
+            elif after[0] in ",;:" or _small(after) or after[0].isdigit() or (after[0] == ")" and after[1:].lstrip()[:1].islower()):
                 tokens[token, "inside"] += 1
         for m in _WORD.finditer(body):
             tokens[m.group(), "bare"] += 1
@@ -162,8 +167,6 @@ def _observe(text: str) -> tuple[Counter, Counter, Counter]:
             first = first[m.end() :]
         if m := re.match(r"([A-ZÄÖÜ][a-zäöüß]+) [a-zäöüß]", first):
             starts[m.group(1), "start"] += 1
-        for m in re.finditer(r"(?<=[a-zäöüß,;] )[A-ZÄÖÜ][a-zäöüß]+", body):
-            starts[m.group(), "within"] += 1
         if _CJK.match(first[:1]) and len(first) > 1:
             starts[first[:2], "start"] += 1
         for m in re.finditer(r"[。！？｡]\s*([^\W\d_]{2})", body):
@@ -200,8 +203,10 @@ def _ends_sentence(text: str, a: int, b: int, s: int, e: int, k: int, abbreviati
     if any(ch in _HARD for ch in run):
         return True
     if run[0] in "…⋯" or run.startswith("..."):
-        if nxt.islower() or nxt in ",;:、，)" or (re.match("[ऀ-ॿ]", nxt) and re.match("[ऀ-ॏ ]", prev)):
+        if _small(after) or nxt in ",;:、，)" or (re.match("[ऀ-ॿ]", nxt) and re.match("[ऀ-ॏ ]", prev)):
             return False  # Hindi sentences end in a danda
+        if _CJK.match(prev):
+            return after[:2] in starts or nxt in _PAIRS
         if _CJK.match(nxt):
             return after[:2] in starts
         if _HANGUL.match(nxt):
@@ -210,13 +215,14 @@ def _ends_sentence(text: str, a: int, b: int, s: int, e: int, k: int, abbreviati
     if "!" in run or "?" in run:
         if gap == 0:
             return bool(_CJK.match(nxt) or _CJK.match(prev))
-        return not nxt.islower()
+        return not _small(after)
     if run == "．":
         return not nxt.isdigit()
     # an ordinary period
     if gap == 0:
-        return False
-    if nxt.islower() or nxt in ",;:、，":
+        # Korean sentences may follow each other without a blank
+        return bool(_HANGUL.match(nxt) and prev in _KO_FINAL and _HANGUL.match(text[s - 2 : s - 1] or " "))
+    if _small(after) or nxt in ",;:、，":
         return False
     if re.match(rf"[ऀ-ॿ{_THAI}]", prev):
         return False
@@ -246,13 +252,17 @@ def _ends_sentence(text: str, a: int, b: int, s: int, e: int, k: int, abbreviati
         may_end = abbreviations.get(token, True)
         if not may_end or nxt.isdigit():
             return False
-        m = re.match(r"[^\W\d_]+", after)
-        word = m.group() if m else ""
-        if not word.isascii() and not word[:1].isupper():
-            return False  # Korean or Chinese goes on after a Western abbreviation
+        m = re.match(r"[“\"‘„(\[]?([^\W\d_]+)", after)
+        word = m.group(1) if m else ""
+        if _HANGUL.match(word) or _CJK.match(word):
+            # a Western abbreviation inside Korean goes on; after a Western sentence a Korean one begins
+            lead = text[a : s - len(token)].rstrip()
+            return bool(lead) and lead[-1].isascii() and lead[-1].isalpha()
+        if word in starts:  # opens sentences elsewhere, be it a name or not: the abbreviation may end one, so it does
+            return True
         if words[word] > 0:  # capitalised inside a sentence of this document: a name
             return False
-        return word in _FUNCTION or words[word.lower()] > 0 or word in starts
+        return word in _FUNCTION or words[word.lower()] > 0
     return True
 
 
@@ -345,7 +355,7 @@ def corpus_evidence(documents: DataFrame, text_col: str = "text") -> DataFrame:
                 tokens.update(t)
                 starts.update(s)
             rows = [("abbreviation", k, tokens[k, "inside"], tokens[k, "end"], tokens[k, "all"], tokens[k, "bare"]) for k in {k for k, _ in tokens}]
-            rows += [("start", k, starts[k, "start"], starts[k, "ellipsis"], starts[k, "within"], 0) for k in {k for k, _ in starts}]
+            rows += [("start", k, starts[k, "start"], starts[k, "ellipsis"], 0, 0) for k in {k for k, _ in starts}]
             yield pd.DataFrame(rows, columns=["kind", "key", "x", "y", "z", "bare"])
 
     sums = (
@@ -359,8 +369,8 @@ def corpus_evidence(documents: DataFrame, text_col: str = "text") -> DataFrame:
     inside = (F.col("x") > 0) & (F.col("x") >= 0.1 * F.col("z")) & (F.col("bare") <= F.col("z"))
     never_last = (F.col("z") >= 5) & (F.col("y") == 0) & (F.col("bare") <= 0.02 * F.col("z"))
     settled = abbreviation & (inside | never_last)
-    # after an ellipsis only starts seen there matter; capitalised words count as starts if they never stand inside
-    starts = (F.col("kind") == "start") & (F.col("x") >= 2) & ((F.col("y") > 0) | F.col("key").rlike("^[A-ZÄÖÜ]")) & (F.col("z") == 0)
+    # in scripts without spaces only starts also seen after an ellipsis matter
+    starts = (F.col("kind") == "start") & (F.col("x") >= 2) & ((F.col("y") > 0) | F.col("key").rlike("^[A-ZÄÖÜ]"))
     return sums.where(settled | starts).select("kind", "key", F.when(abbreviation, F.col("y") > 0).alias("may_end"))
 
 

@@ -32,6 +32,14 @@ def test_lines_and_markers():
     assert parts(text) == ["제목 줄", "□ 첫째 항목은 줄이\n바뀐다.", "이어진다.", "1. 둘째 항목", "- 셋째", "끝"]
 
 
+def test_sentences_without_a_blank():
+    assert parts("그쳤다.공청회에 참석한 이는 가.목 및 나.목을 따른다.끝났다.") == ["그쳤다.", "공청회에 참석한 이는 가.목 및 나.목을 따른다.", "끝났다."]
+
+
+def test_camel_case():
+    assert parts("It fell to 3. iTrade rules now apply.") == ["It fell to 3.", "iTrade rules now apply."]
+
+
 def test_thai():
     assert parts("ธนาคารรายงานทุกเดือน ใช้แบบฟอร์ม Form No. 22 สำหรับเงิน ร้อยละ 85.0 ยังไม่ผ่าน") == ["ธนาคารรายงานทุกเดือน", "ใช้แบบฟอร์ม Form No. 22 สำหรับเงิน", "ร้อยละ 85.0 ยังไม่ผ่าน"]
 
