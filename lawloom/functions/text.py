@@ -205,19 +205,6 @@ def looks_like_company(token: Column) -> Column:
     return (F.length(token) >= 3) & (token.rlike(ends) | token.rlike("[a-z]") | token.rlike("|".join(COMPANY_MARKS)))
 
 
-def article_number(c: Column) -> Column:
-    """제N조 or 제N조의M, blanks ignored; null if the text names none."""
-    g = lambda k: F.regexp_extract(c, r"제\s*(\d+)\s*조(?:\s*의\s*(\d+))?", k)
-    return F.when(g(1) != "", F.concat(F.lit("제"), g(1), F.lit("조"), F.when(g(2) != "", F.concat(F.lit("의"), g(2))).otherwise("")))
-
-
-def law_mentions(c: Column, limit: int = 12) -> Column:
-    """Laws named in corner brackets, then words that end like a law's name before an article; distinct, in this order."""
-    quoted = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"「([^」]{2,60})」"), F.lit(1))
-    plain = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([가-힣]{2,20}(?:법|규정|시행령|시행규칙|세칙))\s*제\s*\d+\s*조"), F.lit(1))
-    return F.slice(F.array_distinct(F.concat(F.transform(quoted, collapse), plain)), 1, limit)
-
-
 def file_kind(name: Column, url: Column, content_type: Column) -> Column:
     """The extension of the name, else of the URL's last segment, else of the content type, else ``bin``."""
     ct = F.lower(F.coalesce(content_type, F.lit("")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions import dims, text
+from lawloom.functions import dims, legal, text
 from lawloom.plans import fragments as q
 from lawloom.plans.catalog import query
 from lawloom.session import table
@@ -79,7 +79,7 @@ def article_organizations(spark, root) -> DataFrame:
     return table(spark, root, "articles").select("id", dims.canonical_organization(ch, F.col("organization")).alias("organization"), text.is_news(ch, F.col("source_system")).alias("is_news"))
 
 
-_ART = "regexp_extract(content_text, '제\\s*([0-9]+)\\s*조(?:\\s*의\\s*([0-9]+))?', {0})"
+_ART = "regexp_extract(content_text, '(?:제\\s*)?([0-9]+)\\s*조(?:\\s*의\\s*([0-9]+))?', {0})"
 
 
 @query(f"""
@@ -90,12 +90,12 @@ FROM articles
 def law_references(spark, root) -> DataFrame:
     body = F.coalesce(F.col("content_text"), F.lit(""))
     quoted = F.size(F.regexp_extract_all(body, F.lit("「([^」]{2,60})」"), F.lit(1)))
-    return table(spark, root, "articles").select("id", text.article_number(F.col("content_text")).alias("article_number"), quoted.cast("bigint").alias("quoted"))
+    return table(spark, root, "articles").select("id", legal.article_reference(F.col("content_text")).alias("article_number"), quoted.cast("bigint").alias("quoted"))
 
 
 @query()
 def law_mentions(spark, root) -> DataFrame:
-    return table(spark, root, "articles").select("id", text.law_mentions(F.col("content_text")).alias("laws"))
+    return table(spark, root, "articles").select("id", legal.law_mentions(F.col("content_text")).alias("laws"))
 
 
 @query()
