@@ -36,6 +36,7 @@ _GOLD = _U(0x9E3779B97F4A7C15)
 _TINY = 16  # sets below this size sign every token
 _SUM_BITS = (1 << 45) - 1
 _BLOB_BATCH = 4000
+_FEW = 250_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -269,6 +270,8 @@ def near_duplicate_classes(
     candidates = materialize(candidates, "candidates")
 
     needed = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
+    if needed.limit(_FEW + 1).count() <= _FEW:  # counted: so many ids are a few megabytes; beyond, both sides are shuffled
+        needed = F.broadcast(needed)
     texts = base.select("class_id", "t").join(needed, "class_id", "left_semi").groupBy("class_id").agg(F.first("t").alias("t"))
     texts = materialize(texts, "texts")
     full = candidates.join(texts.select(F.col("class_id").alias("class_a"), F.col("t").alias("ta")), "class_a")
