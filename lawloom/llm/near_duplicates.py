@@ -212,6 +212,17 @@ def _similarities(left: list[int], right: list[int], texts: dict[int, str], widt
     return out
 
 
+def _partition_keys(spark, partitions: int) -> np.ndarray:
+    """One int for each partition that Spark's hash partitioning sends to just that partition: buckets named so lie one in
+    each, instead of two or three in some and none in others."""
+    ids = spark.range(partitions * 30).select(F.col("id").cast("int").alias("v"))
+    found = ids.groupBy(F.pmod(F.hash("v"), F.lit(partitions)).alias("p")).agg(F.min("v").alias("v")).collect()
+    keys = np.arange(partitions, dtype=np.int64) + partitions * 30  # a partition no int was found for: any int of its own
+    for r in found:
+        keys[r.p] = r.v
+    return keys
+
+
 def normalized_text(*columns: str):
     """The columns (null as empty) joined by a space, without white space, in lower case."""
     joined = F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
@@ -235,6 +246,8 @@ def near_duplicate_classes(
     rows = records.count()
     buckets = max(12, -(-rows * segments * 2 // signatures_per_bucket))
 
+    names_of = _partition_keys(records.sparkSession, buckets)
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _BLOB_BATCH):
@@ -244,7 +257,7 @@ def near_duplicate_classes(
                 tok, sizes = shingle_sets(texts, width)
                 got = _signatures(tok, sizes, threshold, segments, per_segment, min_tokens, deletion_tokens)
                 names, blobs = _pack(ids, sizes, *got, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.array(names_of[names], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs):
