@@ -31,6 +31,14 @@ def merged_text(body: Column, attachment: Column, limit: int, marker: str = "[
     return F.when(a == "", b).when(b == "", F.concat(F.lit(marker + "\n"), a)).otherwise(F.concat(b, F.lit(f"\n\n{marker}\n"), a))
 
 
+def enriched_text(stored: Column, parsed: Column, limit: int, share: float | None = 0.7, marker: str = "[첨부문서]") -> Column:
+    """A stored text with a newly parsed attachment under its marker, cut to ``limit``: only if the parsed text is longer
+    than ``share`` of the stored one, with ``share`` None whenever it is not empty."""
+    s, p = (F.coalesce(c, F.lit("")) for c in (stored, parsed))
+    wanted = (p != "") if share is None else (F.length(p) > share * F.length(s))
+    return F.when(wanted, F.substring(F.concat(s, F.lit(f"\n\n{marker}\n"), p), 1, limit)).otherwise(s)
+
+
 def numbered(rows: DataFrame, limit: int | None = None) -> DataFrame:
     """source_index from 1, newest first (days that are none last), then the higher article id and the lower attachment id."""
     order = [text.iso_date(F.col("published_at")).desc_nulls_last(), F.desc("article_id"), F.col("attachment_id").asc_nulls_first()]

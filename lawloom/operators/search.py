@@ -42,6 +42,15 @@ def postings(articles: DataFrame, id_col: str = "id", fields: tuple[str, ...] =
     return out
 
 
+def refresh_postings(stored: DataFrame, changed: DataFrame, removed: DataFrame | None = None, id_col: str = "id") -> DataFrame:
+    """The index after articles were added, changed or (``removed``, by id) deleted: their old postings go, the new ones
+    come; the rest of the index is not touched."""
+    gone = changed.select(F.col(id_col).alias("doc_id"))
+    if removed is not None:
+        gone = gone.unionByName(removed.select(F.col(id_col).alias("doc_id")))
+    return stored.join(gone.distinct(), "doc_id", "left_anti").select(*stored.columns).unionByName(postings(changed, id_col).select(*stored.columns))
+
+
 def text_match(articles: DataFrame, query: str) -> DataFrame:
     """Articles that match a typed query: as a phrase, as one joined word, by all its words (a single word: by prefix),
     or whose title holds the joined query when blanks are ignored. Runs as one scan: an index pays only where many
