@@ -46,9 +46,26 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lawloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
+#: Tables that ``materialize`` wrote and nothing has released yet.
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the tables ``materialize`` has written so far and return their number. Frames built on them cannot be read
+    afterwards, so call it when their results are stored."""
+    jvm = spark._jvm
+    done = 0
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        done += 1
+    return done
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Rows handed round to all cores where the input has fewer partitions than there are cores, as a single small file
     has; any larger input stays as it is read. For steps that cost far more than moving their rows."""
