@@ -10,7 +10,8 @@ segments, and every candidate is verified exactly on its whole shingle sets.
 
 Guarantee. A pair whose symmetric difference leaves two signed segments untouched is always found (pigeonhole: at
 similarity 0.9 and over for sets of some hundred shingles). Below, down to the threshold 0.7, agreement is a matter of
-the hash; with the defaults the chance to miss a pair exactly at the threshold is about 1e-5, and far less above. Full
+the hash; with the defaults the chance to miss a pair exactly at the threshold is about 2e-5 for sets of like size, up to 3e-4
+where one set lies wholly inside the other, and far less above. Full
 allocation (enough segments that no difference at 0.7 can spoil them all) needs segments of two tokens or five size bands
 of 600 signatures a record, with which most pairs of records become candidates; see the README for figures.
 
