@@ -60,11 +60,15 @@ def trend(words: DataFrame, period: str, n: int = 10, periods: DataFrame | None
     return grid.join(counts, [period, "word"], "left").select(period, "word", F.coalesce("cnt", F.lit(0).cast("bigint")).alias("cnt"))
 
 
-def weighted_terms(articles: DataFrame, top: int = 12) -> DataFrame:
-    """doc_id, term, weight, rank: the query terms of an article, four for each of its first twelve title tokens and one
-    for each of the first twenty of its body; ties by the term."""
+def weighted_terms(articles: DataFrame, top: int = 12, attached: DataFrame | None = None) -> DataFrame:
+    """doc_id, term, weight, rank: the query terms of an article, four for each of its first twelve title tokens, three for
+    each of the first thirty of its attachments' first twenty (``attached``: id, lead20) and one for each of the first twenty
+    of its body; ties by the term."""
     title = articles.select(F.col("id").alias("doc_id"), F.explode(F.slice(text.news_tokens(F.col("title")), 1, 12)).alias("term"), F.lit(4).alias("w"))
     body = articles.select(F.col("id").alias("doc_id"), F.explode(F.slice(text.news_tokens(F.col("content_text")), 1, 20)).alias("term"), F.lit(1).alias("w"))
+    if attached is not None:
+        own = attached.join(articles.select("id"), "id", "left_semi")
+        body = body.unionByName(own.select(F.col("id").alias("doc_id"), F.explode(F.slice("lead20", 1, 30)).alias("term"), F.lit(3).alias("w")))
     sums = title.unionByName(body).groupBy("doc_id", "term").agg(F.sum("w").alias("weight"))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))
     return sums.withColumn("rank", rank).where(F.col("rank") <= top)

@@ -12,50 +12,97 @@ from pyspark.sql.types import DoubleType
 from lawloom.functions import dims, text
 from lawloom.operators.keywords import weighted_terms
 from lawloom.operators.retrieval import Bm25Index
+from lawloom.session import materialize
 
 
-def candidate_news(articles: DataFrame, queries: DataFrame, limit: int = 50, pool: int = 200) -> DataFrame:
+def attachment_tokens(articles: DataFrame, attachments: DataFrame, extractions: DataFrame, most: int = 3, ok: str = "completed") -> DataFrame:
+    """id, lead20, lead30, attached: of the first ``most`` attachments with an extracted text of each article the first 20
+    and the first 30 tokens of each text, one text after the other, and the distinct tokens of all. Articles without such a
+    text have no row. A text is cut into tokens once, however many articles link it."""
+    texts = extractions.where((F.lower(F.trim("status")) == ok) & F.col("text_content").rlike(r"(?U)\S")).select("document_id", F.col("id").alias("extraction_id"), "text_content")
+    links = attachments.join(articles.select(F.col("id").alias("article_id")).distinct(), "article_id", "left_semi").select("article_id", F.col("id").alias("attachment_id"), "document_id")
+    place = F.row_number().over(Window.partitionBy("article_id").orderBy("attachment_id", "extraction_id"))
+    chosen = links.join(texts.select("document_id", "extraction_id"), "document_id").withColumn("place", place).where(F.col("place") <= most)
+    cut = texts.select("extraction_id", text.news_tokens(F.col("text_content")).alias("t")).select("extraction_id", F.slice("t", 1, 20).alias("t20"), F.slice("t", 1, 30).alias("t30"), F.array_distinct("t").alias("t"))
+    per = chosen.join(cut, "extraction_id").groupBy(F.col("article_id").alias("id")).agg(F.array_sort(F.collect_list(F.struct("place", "t20", "t30", "t"))).alias("x"))
+    return per.select("id", F.flatten("x.t20").alias("lead20"), F.flatten("x.t30").alias("lead30"), F.array_distinct(F.flatten("x.t")).alias("attached"))
+
+
+def candidate_news(articles: DataFrame, queries: DataFrame, limit: int = 50, pool: int = 200, attached: DataFrame | None = None) -> DataFrame:
     """query_id, doc_id, rank: for each query article the news among its best ``pool`` matches by its twelve weightiest
-    terms, ranked among themselves, ``limit`` at most."""
+    terms, ranked among themselves, ``limit`` at most. ``attached`` are the attachment tokens of the query articles."""
     tokens = F.filter(text.pair_tokens(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit(""))))), lambda t: F.length(t) >= 2)
     index = Bm25Index(articles, "id", tokens, k1=1.2)
-    asked = weighted_terms(queries).groupBy(F.col("doc_id").alias("query_id")).agg(F.collect_list("term").alias("tokens"))
+    asked = weighted_terms(queries, attached=attached).groupBy(F.col("doc_id").alias("query_id")).agg(F.collect_list("term").alias("tokens"))
     best = index.search(asked, pool, skip_self=True)
     news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system"))).select(F.col("id").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return best.join(news, "doc_id", "left_semi").select("query_id", "doc_id", rank.alias("rank")).where(F.col("rank") <= limit)
 
 
-def entities(title: Column, organization: Column) -> Column:
-    """Distinct tokens of three letters or more of the title and the organisation."""
-    return F.array_distinct(F.filter(F.concat(text.news_tokens(title), text.news_tokens(organization)), lambda t: F.length(t) >= 3))
+def entities(title: Column, organization: Column, lead30: Column) -> Column:
+    """Distinct tokens of three letters or more of the title, the organisation and the beginnings of the attachments."""
+    return F.array_distinct(F.filter(F.concat(text.news_tokens(title), text.news_tokens(organization), lead30), lambda t: F.length(t) >= 3))
+
+
+def _strong(tokens: Column) -> Column:
+    return F.filter(tokens, lambda t: ~t.isin(*dims.WEAK_TERMS))
+
+
+def passes_gate(a: str, b: str) -> Column:
+    """Whether the news ``b`` may belong to ``a``: if the title of ``a`` has an approval term and there are company names in
+    it or in the beginnings of the attachments, one of these must stand in the title or the body of ``b``."""
+    col = lambda side, name: F.col(f"{side}.{name}")
+    asks = F.coalesce(col(a, "title").rlike("|".join(dims.APPROVAL_TERMS)), F.lit(False))
+    gate = F.filter(_strong(F.concat(text.news_tokens(col(a, "title")), col(a, "lead20"))), text.looks_like_company)
+    found = F.arrays_overlap(gate, F.concat(text.news_tokens(col(b, "title")), text.news_tokens(col(b, "content_text"))))
+    return ~asks | (F.size(gate) == 0) | found
 
 
 def rule_score(a: str, b: str) -> tuple[Column, Column]:
-    """(score, reasons) of the pair of article structs ``a`` and ``b``: shared title, entity and body tokens, the same
-    organisation, near days; at most 1."""
+    """(score, reasons) of the pair of article structs ``a`` and ``b``: shared title, entity and body tokens, tokens of the
+    attachments of ``a`` in ``b``, the same organisation, near days; at most 1."""
     col = lambda side, name: F.col(f"{side}.{name}")
-    strong = lambda arr: F.filter(arr, lambda t: ~t.isin(*dims.WEAK_TERMS))
     both = lambda f, name: F.array_intersect(f(col(a, name)), f(col(b, name)))
-    titles = F.size(strong(both(text.news_tokens, "title")))
-    bodies = F.size(F.filter(strong(both(text.news_tokens, "content_text")), lambda t: F.length(t) >= 3))
-    names = F.size(F.filter(F.array_intersect(entities(col(a, "title"), col(a, "organization")), entities(col(b, "title"), col(b, "organization"))), text.looks_like_company))
+    titles = F.size(_strong(both(text.news_tokens, "title")))
+    bodies = F.size(F.filter(_strong(both(text.news_tokens, "content_text")), lambda t: F.length(t) >= 3))
+    in_news = F.concat(text.news_tokens(col(b, "title")), text.news_tokens(col(b, "content_text")))
+    attached = F.size(_strong(F.array_intersect(col(a, "attached"), in_news)))
+    named = lambda side: entities(col(side, "title"), col(side, "organization"), col(side, "lead30"))
+    names = F.size(F.filter(F.array_intersect(named(a), named(b)), text.looks_like_company))
     org = [F.lower(F.trim(F.coalesce(col(s, "organization"), F.lit("")))) for s in (a, b)]
     same = (org[0] != "") & (org[0] == org[1])
     near = F.coalesce(text.date_nearness(text.iso_date(col(a, "published_at")), text.iso_date(col(b, "published_at"))), F.lit(0.0))
     part = lambda n, each, most: F.least(F.lit(most), n * each)
-    score = part(titles, 0.10, 0.36) + part(names, 0.14, 0.42) + part(bodies, 0.02, 0.16) + F.when(same, 0.08).otherwise(0.0) + 0.08 * near
+    score = part(titles, 0.10, 0.36) + part(attached, 0.10, 0.40) + part(names, 0.14, 0.42) + part(bodies, 0.02, 0.16) + F.when(same, 0.08).otherwise(0.0) + 0.08 * near
     reasons = F.array_compact(
-        F.array(F.when(titles > 0, F.lit("제목 키워드 일치")), F.when(names > 0, F.lit("고유명사 일치")), F.when(bodies > 0, F.lit("본문 키워드 유사")), F.when(same, F.lit("기관명 일치")), F.when(near > 0, F.lit("시점 인접")))
+        F.array(
+            F.when(titles > 0, F.lit("제목 키워드 일치")), F.when(attached > 0, F.lit("첨부 핵심어 일치")), F.when(names > 0, F.lit("고유명사 일치")),
+            F.when(bodies > 0, F.lit("본문 키워드 유사")), F.when(same, F.lit("기관명 일치")), F.when(near > 0, F.lit("시점 인접")),
+        )
     )
     return F.least(score, F.lit(1.0)), reasons
 
 
-def related_news(articles: DataFrame, queries: DataFrame, limit: int = 5, least_rule: float = 0.16, least_final: float = 0.22) -> DataFrame:
-    """query_id, doc_id, final_score, rule_score, sparse_rank, reasons of the best related news of each query article."""
-    cand = candidate_news(articles, queries)
-    cols = F.struct("id", "title", "content_text", "organization", "published_at")
-    pairs = cand.join(articles.select(F.col("id").alias("query_id"), cols.alias("a")), "query_id").join(articles.select(F.col("id").alias("doc_id"), cols.alias("b")), "doc_id")
+def related_news(
+    articles: DataFrame, queries: DataFrame, limit: int = 5, least_rule: float = 0.16, least_final: float = 0.22,
+    attachments: DataFrame | None = None, extractions: DataFrame | None = None,
+) -> DataFrame:
+    """query_id, doc_id, final_score, rule_score, sparse_rank, reasons of the best related news of each query article.
+    Without ``attachments`` and ``extractions`` no article has any."""
+    attached = None
+    columns = [F.array().cast("array<string>").alias(c) for c in ("lead20", "lead30", "attached")]
+    sides = articles.select("*", *columns)
+    if attachments is not None and extractions is not None:
+        news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system")))
+        attached = materialize(attachment_tokens(queries.select("id").union(news.select("id")), attachments, extractions), "attached")
+        sides = articles.join(attached, "id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("lead20", "lead30", "attached")})
+    cand = candidate_news(articles, queries, attached=attached)
+    cols = ["id", "title", "content_text", "organization", "published_at", "lead30"]
+    # the wide side, with all tokens of the attachments, comes last: its pairs are not shuffled
+    pairs = cand.join(sides.select(F.col("id").alias("doc_id"), F.struct(*cols).alias("b")), "doc_id")
+    asked = sides.join(queries.select("id"), "id", "left_semi")
+    pairs = pairs.join(asked.select(F.col("id").alias("query_id"), F.struct(*cols, "lead20", "attached").alias("a")), "query_id").where(passes_gate("a", "b"))
     score, reasons = rule_score("a", "b")
     out = pairs.withColumn("rule_score", score).withColumn("reasons", reasons)
     out = out.withColumn("final_score", 0.75 * F.col("rule_score") + 0.25 * F.greatest(F.lit(0.0), 1 - (F.col("rank") - 1) / 50.0))

@@ -155,7 +155,7 @@ def news_candidates(spark, root) -> DataFrame:
 @query()
 def related_news(spark, root) -> DataFrame:
     a = table(spark, root, "articles").select("id", "title", "content_text", "organization", "published_at", "source_channel", "source_system")
-    return related.related_news(a, a.where("id % 20 = 0"))
+    return related.related_news(a, a.where("id % 20 = 0"), attachments=table(spark, root, "attachments"), extractions=table(spark, root, "attachment_extractions"))
 
 
 _SETS = f"SELECT id, source_item_id, title, {_TITLES} AS t FROM articles WHERE source_item_id IS NOT NULL"

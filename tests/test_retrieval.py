@@ -131,3 +131,20 @@ def test_related(spark):
     assert [r.doc_id for r in got] == [2] and "제목 키워드 일치" in got[0].reasons
     s = a.select(related.title_similarity(F.col("title"), F.lit("가온은행 abc 점검")).alias("s")).collect()
     assert s[0].s == 1.0 and s[2].s == 0.0
+
+
+def test_related_by_attachments(spark):
+    rows = [
+        (1, "회의 결과", "짧은 글", None, None, "fss_press_release"), (2, "소식 하나", "orvane 은행 대출 한도 확대", None, None, "overseas_news_api"),
+        (3, "다른 소식", "날씨 맑음", None, None, "overseas_news_api"), (4, "노바홀딩스 인가 심사", "심사 내용", None, None, "fss_press_release"),
+        (5, "인가 심사 동향", "심사 내용 일반", None, None, "overseas_news_api"), (6, "인가 심사 소식", "노바홀딩스 심사 내용", None, None, "overseas_news_api"),
+    ]
+    a = spark.createDataFrame([(*r, None) for r in rows], "id bigint, title string, content_text string, organization string, published_at string, source_channel string, source_system string")
+    attachments = spark.createDataFrame([(10, 1, 7), (11, 1, 8), (12, 1, None)], "id bigint, article_id bigint, document_id bigint")
+    texts = [(1, 7, "completed", " "), (2, 7, " Completed", "대출 한도 Orvane"), (3, 8, "failed", "날씨 맑음"), (4, 8, "completed", None)]
+    e = spark.createDataFrame(texts, "id bigint, document_id bigint, status string, text_content string")
+    terms = {r.term: r.weight for r in keywords.weighted_terms(a.where("id = 1"), attached=related.attachment_tokens(a, attachments, e)).collect()}
+    assert terms == {"회의": 4, "결과": 4, "대출": 3, "한도": 3, "orvane": 3, "짧은": 1}
+    got = {(r.query_id, r.doc_id): r for r in related.related_news(a, a.where("id in (1, 4)"), attachments=attachments, extractions=e).collect()}
+    assert set(got) == {(1, 2), (4, 6)}  # 5 shares title tokens with 4, but not the company
+    assert got[1, 2].rule_score == 0.3 and got[1, 2].reasons == ["첨부 핵심어 일치"]
