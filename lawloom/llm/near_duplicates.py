@@ -1,23 +1,20 @@
 """Near-duplicate records over tables too large for pairwise comparison (problem 5).
 
-Each record is the set of its character shingles. The universe of shingles is partitioned by a hash into segments, their
-number fixed by the band of set sizes; a segment's tokens are one signature (``exact``), and where a segment is large
-also all sets with one token taken away (``one deletion``). Sets that are near each other agree in many segments. The
-allocation is by cost: segments of under ``min_tokens`` tokens, which many unrelated sets share, get no signature,
-middling ones the exact one, and those of ``deletion_tokens`` or more, whose deletions are selective, both. Small sets
-are partitioned several times, so every set has about ``segments`` segments. A pair is a candidate if it agrees in two
-segments, and every candidate is verified exactly on its whole shingle sets.
-
-Guarantee. A pair whose symmetric difference leaves two signed segments untouched is always found (pigeonhole: at
-similarity 0.9 and over for sets of some hundred shingles). Below, down to the threshold 0.7, agreement is a matter of
-the hash; with the defaults the chance to miss a pair exactly at the threshold is about 2e-5 for sets of like size, up to 3e-4
-where one set lies wholly inside the other, and far less above. Full
-allocation (enough segments that no difference at 0.7 can spoil them all) needs segments of two tokens or five size bands
-of 600 signatures a record, with which most pairs of records become candidates; see the README for figures.
+Each record is the set of its character shingles. All sets are put into one order, shingles that are rare in a sample
+first. Two sets as similar as asked have at least a known number of shingles in common, so the first of these lies in
+the beginning of both (prefix filter): of a set of n shingles the first n - ceil(t n) + 1, and where it is the smaller set
+of the pair the first n - ceil(2t/(1+t) n) + 1. Each record is signed by these shingles. Pairs that share a signature and
+whose sizes allow it are compared by their sketches, one parity bit for each class of shingles: sketches never
+differ in more bits than the sets in shingles, so no pair is lost. Every candidate left is verified on its whole sets.
+
+Guarantee. Every pair of at least the threshold is found, whatever the texts; the sample decides only about the cost.
+Nothing is capped.
 
 Scale. Records are identified by a hash of their text, so exact copies fold into one already in the map task. Signatures
-travel packed, five bytes each, one blob per map batch and hash bucket; the number of buckets follows the number of
-rows, so a bucket has a bounded number of signatures. No table, link or component is collected or broadcast.
+travel packed, five bytes each, one blob per map batch and hash bucket, with the sketch (about 1.4 bits a shingle) of each of
+its records; the number of buckets follows the number of rows, so a bucket has a bounded number of signatures. No
+table, link or component is collected or broadcast, only the frequencies (4 MB). The comparisons grow faster than the table where
+its vocabulary does not grow with it.
 """
 
 from __future__ import annotations
@@ -34,9 +31,10 @@ from lawloom.session import materialize, spread
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
-_TINY = 16  # sets below this size sign every token
-_SUM_BITS = (1 << 45) - 1
 _BLOB_BATCH = 4000
+_FREQUENCIES = 1 << 21
+_SAMPLE = 20_000
+_RANK_BITS = 24
 _FEW = 250_000
 
 
@@ -73,65 +71,57 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, _U)), sizes
 
 
-def _signatures(tok: np.ndarray, sizes: np.ndarray, threshold: float, segments: int, per_segment: float, min_tokens: int, deletion_tokens: int):
-    """(record index, signature, is deletion) of all records."""
-    step = np.log(1 / threshold)
-    band = np.where(sizes >= _TINY, np.floor(np.log(np.maximum(sizes, _TINY) / _TINY) / step + 1e-9), -1).astype(np.int64)
-    who, sig, dele = [], [], []
+def _slot(tok: np.ndarray) -> np.ndarray:
+    return (_mix(tok) % _U(_FREQUENCIES)).astype(np.int64)
+
+
+def _least(share: float, n: np.ndarray) -> np.ndarray:
+    return np.ceil(share * n - 1e-9).astype(np.int64)
+
+
+def _words(sizes: np.ndarray) -> np.ndarray:
+    """The number of 64-bit words of a sketch: a power of two, more bits than shingles."""
+    return 1 << np.maximum(0, np.floor(np.log2(np.maximum(sizes, 32) / 32))).astype(np.int64)
+
+
+def _signatures(tok: np.ndarray, sizes: np.ndarray, threshold: float, frequency: np.ndarray):
+    """(record index, signature, whether it counts only for the larger set of a pair) of all records."""
+    order = (frequency[_slot(tok)].astype(_U) << _U(48)) | (_mix(tok) >> _U(16))
     start = np.concatenate([[0], np.cumsum(sizes)])
-    # tiny sets, and sets that may pair with a tiny one, sign each token twice
-    tiny = np.flatnonzero((sizes > 0) & (sizes * threshold < _TINY))
-    for d in tiny:
-        t = tok[start[d] : start[d + 1]]
-        for salt in (1, 2):
-            who.append(np.full(len(t), d))
-            sig.append(_mix(t ^ (_GOLD * _U(salt))))
-            dele.append(np.zeros(len(t), bool))
-    for lower in (0, 1):
-        k = band - lower
-        low = _TINY * (1 / threshold) ** k
-        m = np.maximum(1, np.rint(1.2 * low / per_segment)).astype(np.int64)
-        reps = np.where((k >= 0) & (sizes > 0), np.ceil(segments / m), 0).astype(np.int64)
-        for r in range(int(reps.max(initial=0))):
-            docs = np.flatnonzero(reps > r)
-            every = len(docs) == len(sizes)
-            take = slice(None) if every else np.repeat(reps > r, sizes)
-            t, n = tok[take], sizes[docs]
-            seed = _mix((k[docs] * 1000 + r + 7).astype(_U) * _GOLD)
-            base = np.concatenate([[0], np.cumsum(m[docs])])
-            seg = (_mix(t ^ np.repeat(seed, n)) >> _U(11)) % np.repeat(m[docs], n).astype(_U)
-            at = np.repeat(base[:-1], n) + seg.astype(np.int64)
-            part = (t & _U(_SUM_BITS)).astype(np.float64)
-            total = np.bincount(at, part, base[-1])
-            count = np.bincount(at, minlength=base[-1])
-            owner = np.repeat(docs, m[docs])
-            number = np.arange(base[-1]) - np.repeat(base[:-1], m[docs])
-            wanted = number < segments - r * np.repeat(m[docs], m[docs])  # the last partition fills up the number of segments
-            salt = _mix(np.repeat(seed, m[docs]) + number.astype(_U))
-            keep = np.flatnonzero((count >= min_tokens) & wanted)
-            who.append(owner[keep])
-            sig.append(_mix(total[keep].astype(_U) ^ salt[keep]))
-            dele.append(np.zeros(len(keep), bool))
-            big = np.flatnonzero(((count >= deletion_tokens) & wanted)[at])
-            a = at[big]
-            who.append(owner[a])
-            sig.append(_mix((total[a] - part[big]).astype(_U) ^ salt[a]))
-            dele.append(np.ones(len(big), bool))
-    if not who:
-        return np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, bool)
-    return np.concatenate(who), np.concatenate(sig), np.concatenate(dele)
-
-
-_ROW = np.dtype([("doc", "<i8"), ("size", "<u4"), ("n", "<u2")])
-
-
-def _pack(ids: np.ndarray, sizes: np.ndarray, who: np.ndarray, sig: np.ndarray, dele: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    """One blob for each bucket: the records (id, size, number of signatures), then 5 bytes for each signature."""
+    longer = np.where(sizes > 0, sizes - _least(threshold, sizes) + 1, 0)
+    shorter = np.where(sizes > 0, sizes - _least(2 * threshold / (1 + threshold), sizes) + 1, 0)
+    parts = [np.sort(order[start[i] : start[i + 1]])[: longer[i]] for i in range(len(sizes))]
+    who = np.repeat(np.arange(len(sizes)), longer)
+    place = np.arange(len(who)) - np.repeat(np.cumsum(longer) - longer, longer)
+    return who, _mix(np.concatenate(parts) if parts else np.zeros(0, _U)), place >= shorter[who]
+
+
+def _sketches(tok: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The words of all sketches, one record's after the other: bit i tells whether an odd number of shingles fell on i."""
+    bits = _words(sizes) * 64
+    base = np.cumsum(bits) - bits
+    at = np.repeat(base, sizes) + (_mix(tok ^ _GOLD) & (np.repeat(bits, sizes) - 1).astype(_U)).astype(np.int64)
+    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<u8")
+
+
+_ROW = np.dtype([("doc", "<i8"), ("size", "<u4"), ("n", "<u4")])
+
+
+def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The indices of slices, one after the other."""
+    return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
+
+
+def _pack(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, who: np.ndarray, sig: np.ndarray, larger: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """One blob for each bucket: the records (id, size, number of signatures), their sketches, then 5 bytes for each signature."""
     bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.int64)
     order = np.lexsort((who, bucket))
     bucket, who = bucket[order], who[order]
-    short = ((sig[order] << _U(1)) | dele[order].astype(_U)) & _U((1 << 40) - 1)
+    short = ((sig[order] << _U(1)) | larger[order].astype(_U)) & _U((1 << 40) - 1)
     raw = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
+    words = _words(sizes)
+    begin = np.cumsum(words) - words
     cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
     names, blobs = [], []
     for a, b in zip(cuts[:-1], cuts[1:]):
@@ -142,56 +132,91 @@ def _pack(ids: np.ndarray, sizes: np.ndarray, who: np.ndarray, sig: np.ndarray,
         head = np.empty(len(docs), _ROW)
         head["doc"], head["size"], head["n"] = ids[docs], sizes[docs], np.diff(first)
         names.append(int(bucket[a]))
-        blobs.append(np.uint32(len(docs)).tobytes() + head.tobytes() + raw[a:b].tobytes())
+        blobs.append(np.uint32(len(docs)).tobytes() + head.tobytes() + sketch[_slices(begin[docs], words[docs])].tobytes() + raw[a:b].tobytes())
     return names, blobs
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature with deletion bit, index of its record), ids and sizes of the records; copies folded into one."""
-    heads, sigs = [], []
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature with its bit, index of its record), ids, sizes and places of the sketches of the records in the order of their
+    sizes, and the words of the sketches; copies folded into one."""
+    heads, sigs, sketches = [], [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.uint32, 1)[0])
         head = np.frombuffer(blob, _ROW, n, 4)
         heads.append(head)
-        raw = np.frombuffer(blob, np.uint8, -1, 4 + n * _ROW.itemsize).reshape(-1, 5)
+        at = 4 + n * _ROW.itemsize
+        words = int(_words(head["size"]).sum())
+        sketches.append(np.frombuffer(blob, "<u8", words, at))
+        raw = np.frombuffer(blob, np.uint8, -1, at + words * 8).reshape(-1, 5)
         wide = np.zeros((len(raw), 8), np.uint8)
         wide[:, :5] = raw
         sigs.append(wide.view("<u8").ravel())
     head = np.concatenate(heads)
-    ids, index = np.unique(head["doc"], return_inverse=True)
-    size = np.zeros(len(ids), np.int64)
-    size[index] = head["size"]
-    return np.concatenate(sigs), np.repeat(index, head["n"]), ids, size
+    ids, first, index = np.unique(head["doc"], return_index=True, return_inverse=True)
+    size = head["size"][first].astype(np.int64)
+    words = _words(head["size"])
+    begin = (np.cumsum(words) - words)[first]
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(len(ids), np.int64)
+    rank[order] = np.arange(len(ids))
+    return np.concatenate(sigs), np.repeat(rank[index], head["n"]), ids[order], size[order], begin[order], np.concatenate(sketches)
+
+
+class _Near:
+    """Whether the sketches of two records allow the threshold; of two lengths the longer sketch is folded."""
+
+    def __init__(self, size: np.ndarray, begin: np.ndarray, sketch: np.ndarray, threshold: float):
+        self.size, self.share, words = size, (1 - threshold) / (1 + threshold), _words(size)
+        self.words, self.first, self.table = words, {}, {}
+        table = np.zeros((0, 1), _U)
+        for w in sorted(set(words.tolist()), reverse=True):
+            while table.shape[0] and table.shape[1] > w:
+                table = table[:, : table.shape[1] // 2] ^ table[:, table.shape[1] // 2 :]
+            own = np.flatnonzero(words == w)  # sizes ascend, so the records of longer sketches are those after these
+            table = np.concatenate([sketch[begin[own][:, None] + np.arange(w)], table.reshape(-1, w)])
+            self.first[w], self.table[w] = int(own[0]), table
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For records a of at most the size of b."""
+        ok = np.zeros(len(a), bool)
+        most = self.share * (self.size[a] + self.size[b]) + 1e-9
+        words = self.words[a]
+        for w, table in self.table.items():
+            which = np.flatnonzero(words == w)
+            step = max(1, 2_000_000 // w)
+            for at in range(0, len(which), step):
+                i = which[at : at + step]
+                x = table[a[i] - self.first[w]] ^ table[b[i] - self.first[w]]
+                ok[i] = np.bitwise_count(x).sum(1, dtype=np.int64) <= most[i]
+        return ok
 
 
 def _pairs(blobs: list[bytes], threshold: float, chunk: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Record pairs that share a signature, exact with exact or exact with deletion, once for each shared one."""
-    sig, doc, ids, size = _unpack(blobs)
-    order = np.lexsort((doc, sig))
-    sig, doc = sig[order], doc[order]
-    fresh = np.ones(len(sig), bool)
-    fresh[1:] = (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])  # a copy from another batch
-    sig, doc = sig[fresh], doc[fresh]
-    key = sig >> _U(1)
-    exact = (sig & _U(1)) == 0
-    edge = np.flatnonzero(np.diff(key)) + 1
-    lo, hi = np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]])
-    n_exact = np.add.reduceat(exact.astype(np.int64), lo) if len(key) else np.zeros(0, np.int64)
-    runs = np.flatnonzero((hi - lo > 1) & (n_exact > 0))
-    # exact entries come first in a run; entry i pairs with all entries after it as long as i is exact
-    first = np.concatenate([np.arange(lo[r], lo[r] + n_exact[r]) for r in runs]) if len(runs) else np.zeros(0, np.int64)
-    last = np.repeat(hi[runs], n_exact[runs])
+    """Record pairs that share a signature and whose sizes and sketches allow the threshold."""
+    sig, doc, ids, size, begin, sketch = _unpack(blobs)
+    if len(ids) >= 1 << _RANK_BITS:
+        raise RuntimeError("too many records in a bucket; lower signatures_per_bucket")
+    near = _Near(size, begin, sketch, threshold)
+    whole = np.sort(((sig >> _U(1)) << _U(_RANK_BITS + 1)) | (doc.astype(_U) << _U(1)) | (sig & _U(1)))
+    place, larger = whole >> _U(1), (whole & _U(1)) == 1
+    fresh = np.ones(len(whole), bool)
+    fresh[1:] = place[1:] != place[:-1]  # a copy from another batch; the entry for both roles comes first
+    place, larger = place[fresh], larger[fresh]
+    doc = (place & _U((1 << _RANK_BITS) - 1)).astype(np.int64)
+    # an entry pairs with those after it in its run up to the largest size allowed
+    limit = np.searchsorted(size, size / threshold + 1e-6, "right")
+    first = np.flatnonzero(~larger)
+    last = np.searchsorted(place, place[first] - doc[first].astype(_U) + limit[doc[first]].astype(_U), "left")
     width = last - first - 1
+    first, width = first[width > 0], width[width > 0]
     at = 0
     ends = np.cumsum(width)
     while at < len(first):
         stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
         w = width[at:stop]
-        left = np.repeat(first[at:stop], w)
-        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(w) - w, w)
-        a, b = doc[left], doc[right]
-        near = (a != b) & (np.minimum(size[a], size[b]) >= threshold * np.maximum(size[a], size[b]) - 1e-9)
-        a, b = ids[a[near]], ids[b[near]]
+        a, b = np.repeat(doc[first[at:stop]], w), doc[_slices(first[at:stop] + 1, w)]
+        ok = near(a, b)
+        a, b = ids[a[ok]], ids[b[ok]]
         yield np.minimum(a, b), np.maximum(a, b)
         at = stop
 
@@ -231,8 +256,7 @@ def normalized_text(*columns: str):
 
 
 def near_duplicate_classes(
-    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, segments: int = 140, per_segment: float = 4.5,
-    min_tokens: int = 4, deletion_tokens: int = 12, signatures_per_bucket: int = 1_000_000,
+    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, signatures_per_bucket: int = 4_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has record_id and class_id, one row per record with a text; records of equal
     text form a class. links has class_a < class_b and similarity, one row per pair of classes with Jaccard similarity
@@ -245,7 +269,18 @@ def near_duplicate_classes(
     base = spread(records).select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
     base = base.select("record_id", "t", F.xxhash64("t").alias("class_id"))
     rows = records.count()
-    buckets = max(12, -(-rows * segments * 2 // signatures_per_bucket))
+    buckets = max(12, -(-rows * 150 // signatures_per_bucket))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(_FREQUENCIES, np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _BLOB_BATCH):
+                n += np.bincount(_slot(shingle_sets(batch.column(0)[at : at + _BLOB_BATCH].to_pylist(), width)[0]), minlength=_FREQUENCIES)
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(n, 65535).astype("<u2").tobytes()], pa.binary())], ["n"])
+
+    sample = base.where(F.pmod(F.xxhash64("record_id"), F.lit(max(1, rows // _SAMPLE))) == 0).select("t").coalesce(6)
+    counted = [np.frombuffer(r.n, "<u2").astype(np.int64) for r in sample.mapInArrow(count, "n binary").collect()]  # six parts at most
+    frequencies = records.sparkSession.sparkContext.broadcast(np.minimum(sum(counted, np.zeros(_FREQUENCIES, np.int64)), 65535).astype(np.uint16))
 
     names_of = _partition_keys(records.sparkSession, buckets)
 
@@ -256,15 +291,15 @@ def near_duplicate_classes(
                 ids, where = np.unique(batch.column(0).to_numpy(), return_index=True)
                 texts = batch.column(1).take(pa.array(where)).to_pylist()
                 tok, sizes = shingle_sets(texts, width)
-                got = _signatures(tok, sizes, threshold, segments, per_segment, min_tokens, deletion_tokens)
-                names, blobs = _pack(ids, sizes, *got, buckets)
+                got = _signatures(tok, sizes, threshold, frequencies.value)
+                names, blobs = _pack(ids, sizes, _sketches(tok, sizes), *got, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(names_of[names], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs):
             for a, b in _pairs(blobs, threshold):
-                pair, n = np.unique(np.stack([a, b], 1), axis=0, return_counts=True) if len(a) else (np.zeros((0, 2), np.int64), np.zeros(0, np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64()), pa.array(n, pa.int64())], ["class_a", "class_b", "n"])
+                pair = np.unique(np.stack([a, b], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["class_a", "class_b"])
 
         current, blobs = None, []
         for batch in batches:
@@ -279,9 +314,8 @@ def near_duplicate_classes(
 
     packed = base.select("class_id", "t").mapInArrow(sign, "bucket int, blob binary")
     packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    pairs = packed.mapInArrow(match, "class_a bigint, class_b bigint, n bigint")
-    candidates = pairs.groupBy("class_a", "class_b").agg(F.sum("n").alias("n")).where("n >= 2").select("class_a", "class_b")
-    candidates = materialize(candidates, "candidates")
+    pairs = packed.mapInArrow(match, "class_a bigint, class_b bigint")
+    candidates = materialize(pairs.distinct(), "candidates")
 
     needed = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()
     if needed.limit(_FEW + 1).count() <= _FEW:  # counted: so many ids are a few megabytes; beyond, both sides are shuffled

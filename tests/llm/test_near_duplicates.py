@@ -98,3 +98,9 @@ def test_query_against_brute_force(spark, root):
     want = {(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
     got = [(r.article_id_a, r.article_id_b) for r in e.queries()["p5_found"](spark, root).collect()]
     assert sorted(got) == sorted(want)
+
+
+def test_no_pair_is_left_to_chance(spark):
+    texts = corpus(160, 3)
+    want = brute(texts, 0.35)
+    assert len(want) > 200 and classes(spark, texts, threshold=0.35)[1] == want
