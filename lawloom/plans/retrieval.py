@@ -117,6 +117,15 @@ def vectors_to_add(spark, root) -> DataFrame:
     return retrieval.missing_vectors(d, stored).select("point_id", "doc_id")
 
 
+@query()
+def chunk_vectors_to_add(spark, root) -> DataFrame:
+    """The chunks of all documents whose vectors are not stored yet, if those of the Korean documents are."""
+    d = table(spark, root, "documents")
+    pieces = lambda rows: retrieval.chunks(rows, "doc_id", "title", "text")
+    stored = pieces(d.where("lang = 'ko'")).select(text.stable_id(F.col("chunk_id")).alias("point_id"))
+    return retrieval.missing_vectors(pieces(d), stored).select("point_id", "chunk_id", "doc_id", "chunk_no")
+
+
 _ALNUM = f"regexp_extract_all(lower({_DOC}), '[가-힣a-zA-Z0-9]{{2,}}')"
 _TITLES = f"list_distinct(list_transform(list_filter(regexp_extract_all(coalesce(title, ''), '[가-힣a-zA-Z0-9]{{2,}}'), lambda t: t NOT IN {q.words(dims.TITLE_STOPWORDS)}), lambda t: lower(t)))"
 

@@ -148,3 +148,19 @@ def test_related_by_attachments(spark):
     got = {(r.query_id, r.doc_id): r for r in related.related_news(a, a.where("id in (1, 4)"), attachments=attachments, extractions=e).collect()}
     assert set(got) == {(1, 2), (4, 6)}  # 5 shares title tokens with 4, but not the company
     assert got[1, 2].rule_score == 0.3 and got[1, 2].reasons == ["첨부 핵심어 일치"]
+
+
+def test_chunk_vectors_to_add(spark, root):
+    import hashlib
+    import uuid
+
+    import __spark_entry__ as e
+
+    want = {}
+    for r in spark.read.parquet(f"{root}/documents.parquet").select("doc_id", "lang", "text").collect():
+        flat = " ".join((r.text or "").split())
+        if r.lang != "ko" and flat:
+            for i, _ in enumerate(retrieval.chunk_bounds(flat, 1200, 160)):
+                want[str(uuid.UUID(hashlib.md5(f"{r.doc_id}#{i}".encode()).hexdigest()))] = (str(r.doc_id), i)
+    got = {r.point_id: (r.doc_id, r.chunk_no) for r in e.queries()["chunk_vectors_to_add"](spark, root).collect()}
+    assert got == want and any(no for _, no in got.values())
