@@ -29,6 +29,18 @@ class _Stock:
         self.left = np.zeros(capacity + 1, np.int64)
         for length, n in counts.items():
             self.left[length] += n
+        self._indexed = -1
+
+    def _sums(self, have: np.ndarray) -> np.ndarray:
+        """Whether two lengths that were in stock when the index was made add up to a total. Lengths only run out, so no sum
+        is missing; the index is made anew when a quarter of them has run out."""
+        if self._indexed < 0 or len(have) * 4 < self._indexed * 3:
+            self._indexed, size = len(have), len(self.left)
+            present = self.left > 0
+            self._pair_sums = np.zeros(size, bool)
+            for a in have:
+                self._pair_sums[a:] |= present[: size - a]
+        return self._pair_sums
 
     def lengths(self) -> np.ndarray:
         return np.flatnonzero(self.left)
@@ -59,7 +71,8 @@ class _Stock:
 
         if two := pair(gap):
             return two
-        for a in have[(have * 3 >= gap) & (have < gap - 1)][::-1][:64]:
+        largest = have[(have * 3 >= gap) & (have < gap - 1)]
+        for a in largest[self._sums(self.lengths())[gap - largest]][::-1]:
             if two := pair(gap - int(a), int(a)):
                 if two[0] <= a:
                     return (int(a), *two)

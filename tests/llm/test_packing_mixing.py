@@ -99,3 +99,12 @@ def test_queries(spark, root):
     assert set(fill) == {1, 2, 3} and all(r.containers <= r.least_containers + 1 for r in fill.values())
     shares = e.queries()["p7_shares"](spark, root).collect()
     assert len(shares) == 12 and all(r.most_copies <= r.max_repeats for r in shares)
+
+
+def test_triple_behind_many_large_lengths():
+    from lawloom.llm.packing import plan_containers
+
+    counts = {2000: 1, 400: 1, 350: 1, 250: 1} | {n: 1 for n in range(801, 1000, 2)}
+    plan = plan_containers(counts, 3000)
+    assert ((2000, 400, 350, 250), 1) in plan
+    assert sum(times * lengths.count(n) for lengths, times in plan for n in counts) == len(counts)
