@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lawloom.functions.dims import COMPANY_ENDINGS, COMPANY_MARKS, NEWS_CHANNELS, NEWS_STOPWORDS, PARTICLES, RULE_STOPWORDS, TITLE_STOPWORDS
+from lawloom.functions.dims import COMPANY_ENDINGS, COMPANY_MARKS, NEWS_STOPWORDS, PARTICLES, RULE_STOPWORDS, TITLE_STOPWORDS
 
 _WS = r"(?U)\s+"
 _KNOWN_EXT = r"\.(pdf|hwpx|hwp|docx|doc|xlsx|xls|pptx|ppt|zip|txt)$"
@@ -216,8 +216,11 @@ def file_kind(name: Column, url: Column, content_type: Column) -> Column:
     return F.coalesce(short(extension(F.trim(name))), short(extension(name_in_url(url))), by_type, F.lit("bin"))
 
 
-def is_news(channel: Column, system: Column) -> Column:
-    return F.coalesce(channel.isin(*NEWS_CHANNELS), F.lit(False)) | F.coalesce(system.isin(*NEWS_CHANNELS), F.lit(False))
+def is_news(channel: Column, system: Column, organization: Column | None = None) -> Column:
+    """Whether the channel or the system has ``news`` in its name, or the organisation ``arirang``; case ignored."""
+    has = lambda c, part: F.coalesce(F.lower(c).contains(part), F.lit(False))
+    found = has(channel, "news") | has(system, "news")
+    return found if organization is None else found | has(organization, "arirang")
 
 
 def jaccard(a: Column, b: Column) -> Column:

@@ -35,7 +35,7 @@ def candidate_news(articles: DataFrame, queries: DataFrame, limit: int = 50, poo
     index = Bm25Index(articles, "id", tokens, k1=1.2)
     asked = weighted_terms(queries, attached=attached).groupBy(F.col("doc_id").alias("query_id")).agg(F.collect_list("term").alias("tokens"))
     best = index.search(asked, pool, skip_self=True)
-    news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system"))).select(F.col("id").alias("doc_id"))
+    news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system"), F.col("organization"))).select(F.col("id").alias("doc_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))
     return best.join(news, "doc_id", "left_semi").select("query_id", "doc_id", rank.alias("rank")).where(F.col("rank") <= limit)
 
@@ -94,7 +94,7 @@ def related_news(
     columns = [F.array().cast("array<string>").alias(c) for c in ("lead20", "lead30", "attached")]
     sides = articles.select("*", *columns)
     if attachments is not None and extractions is not None:
-        news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system")))
+        news = articles.where(text.is_news(F.col("source_channel"), F.col("source_system"), F.col("organization")))
         attached = materialize(attachment_tokens(queries.select("id").union(news.select("id")), attachments, extractions), "attached")
         sides = articles.join(attached, "id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("lead20", "lead30", "attached")})
     cand = candidate_news(articles, queries, attached=attached)

@@ -157,7 +157,7 @@ SELECT r.query_id, r.doc_id, row_number() OVER (PARTITION BY r.query_id ORDER BY
 WHERE a.source_channel IN {q.words(dims.NEWS_CHANNELS)} OR a.source_system IN {q.words(dims.NEWS_CHANNELS)} QUALIFY row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) <= 50
 """)
 def news_candidates(spark, root) -> DataFrame:
-    a = table(spark, root, "articles").select("id", "title", "content_text", "source_channel", "source_system")
+    a = table(spark, root, "articles").select("id", "title", "content_text", "organization", "source_channel", "source_system")
     return related.candidate_news(a, a.where("id % 20 = 0"))
 
 

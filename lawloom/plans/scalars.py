@@ -76,7 +76,7 @@ FROM articles
 """)
 def article_organizations(spark, root) -> DataFrame:
     ch = F.col("source_channel")
-    return table(spark, root, "articles").select("id", dims.canonical_organization(ch, F.col("organization")).alias("organization"), text.is_news(ch, F.col("source_system")).alias("is_news"))
+    return table(spark, root, "articles").select("id", dims.canonical_organization(ch, F.col("organization")).alias("organization"), text.is_news(ch, F.col("source_system"), F.col("organization")).alias("is_news"))
 
 
 _ART = "regexp_extract(content_text, '(?:제\\s*)?([0-9]+)\\s*조(?:\\s*의\\s*([0-9]+))?', {0})"

@@ -67,3 +67,9 @@ def test_legal_texts(spark):
     assert value(spark, legal.supplementary_provisions(F.col("c")), c="a\n 부칙 <1>\n 시행") == "부칙 <1>\n시행" and value(spark, legal.supplementary_provisions(F.col("c")), c="a") is None
     assert value(spark, legal.without_lines(F.col("c"), "💡"), c="a\n💡 b\nc") == "a\nc" and value(spark, legal.without_article(F.col("c")), c="은행법  제3조") == "은행법"
     assert value(spark, legal.tool_text(F.col("c")), c='{"content":[{"type":"text","text":"a"},{"type":"image"},{"type":"text","text":"b"}]}') == "a\nb"
+
+
+def test_news_by_parts_of_names(spark):
+    rows = [(" Overseas_News_API", None, None), ("yonhap_news", "x", None), (None, "News_Feed", None), ("x", None, " Arirang TV"), ("fss_press_release", "fss_scrape", "금융위"), (None, None, None)]
+    a = spark.createDataFrame(rows, "c string, s string, o string")
+    assert [r.n for r in a.select(text.is_news(F.col("c"), F.col("s"), F.col("o")).alias("n")).collect()] == [True] * 4 + [False] * 2
