@@ -366,11 +366,11 @@ def near_duplicate_groups(membership: DataFrame, links: DataFrame, max_rounds: i
 
 
 def _articles(spark, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/articles.parquet").where(F.length("content_text") >= 200).select("id", "title", "content_text")
+    return spark.read.parquet(f"{root}/articles.parquet").select("id", "title", "content_text")
 
 
 def p5_found(spark, root: str) -> DataFrame:
-    members, links = near_duplicate_classes(_articles(spark, root), "id", normalized_text("title", "content_text"))
+    members, links = near_duplicate_classes(_articles(spark, root).where(F.length("content_text") >= 200), "id", normalized_text("title", "content_text"))
     members = members.join(
         links.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).union(members.groupBy("class_id").count().where("count > 1").select("class_id")).distinct(),
         "class_id", "left_semi",
@@ -385,5 +385,9 @@ def p5_found(spark, root: str) -> DataFrame:
 
 
 def p5_groups(spark, root: str) -> DataFrame:
-    """One row per article with its class, its group and its number of links; copies are not expanded into pairs."""
-    return near_duplicate_groups(*near_duplicate_classes(_articles(spark, root), "id", normalized_text("title", "content_text")))
+    """One row per article with its class, its group and its number of links; copies are not expanded into pairs. An article
+    without any text is like no other: it is a class and a group of its own."""
+    articles = _articles(spark, root).withColumn("t", normalized_text("title", "content_text"))
+    groups = near_duplicate_groups(*near_duplicate_classes(articles, "id", F.expr("nullif(t, '')")))
+    alone = articles.where("t = ''").select(F.col("id").alias("record_id"), F.xxhash64(F.lit("no text"), "id").alias("class_id"))
+    return groups.unionByName(alone.select("record_id", "class_id", F.col("class_id").alias("group_id"), F.lit(0).cast("bigint").alias("n_links")))

@@ -104,3 +104,12 @@ def test_no_pair_is_left_to_chance(spark):
     texts = corpus(160, 3)
     want = brute(texts, 0.35)
     assert len(want) > 200 and classes(spark, texts, threshold=0.35)[1] == want
+
+
+def test_groups_of_every_article(spark, tmp_path):
+    from lawloom.llm.near_duplicates import p5_groups
+
+    rows = [(1, "같은 제목", "짧은 글 하나"), (2, "같은 제목", "짧은 글 하나"), (3, None, None), (4, " ", ""), (5, "제목만 있는 글", None)]
+    spark.createDataFrame(rows, "id bigint, title string, content_text string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = {r.record_id: r for r in p5_groups(spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1].group_id == got[2].group_id and len({r.group_id for r in got.values()}) == 4
