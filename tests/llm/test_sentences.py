@@ -66,6 +66,33 @@ def test_rows(spark):
     assert sentences(df.where("false")).count() == 0
 
 
+CORPUS = (
+    ["Dr. Kim met the board.", "The chair, Dr. Lee, spoke of Kim and of Mr. Park."] * 8
+    + ["They asked Dr. Kim at Co. level, by Mr. Lee and Kim.", "Rules of the U.S. apply.", "Staff of the U.S. agency came, said Lee and Kim."] * 6
+    + ["Kim opened it.", "The guest was a Dr.", "Staff moved.", "It rests.", "To stay here he agreed. This they agreed, all agreed on this and to this. Nobody stayed, all stayed away."]
+    + ["当局公布了。结论……至今没有。", "至今没有。"]
+)
+
+
+def _cut(df):
+    return {(r.doc_id, r.start_pos, r.end_pos) for r in sentences(df).collect()}
+
+
+def test_evidence_does_not_depend_on_the_size_of_the_corpus(spark):
+    """A hundred times the same corpus is cut the same; a rare line end after Dr. and a rare start with Kim change nothing."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*CORPUS, "We met Dr. Kim on Monday."])], "doc_id bigint, text string")
+    once = _cut(df)
+    assert _cut(df.selectExpr("*", "explode(sequence(1, 100)) as n").select("doc_id", "text")) == once
+    last = len(CORPUS)
+    assert [x for x in once if x[0] == last] == [(last, 0, 25)]
+
+
+def test_more_keys_than_can_be_broadcast(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*CORPUS, *CORPUS[:5]])], "doc_id bigint, text string")
+    assert {(r.doc_id, r.start_pos, r.end_pos) for r in sentences(df, few=0).collect()} == _cut(df)
+    assert sentences(df.where("false"), few=-1).count() == 0
+
+
 def test_query(spark, root):
     import __spark_entry__ as e
 
