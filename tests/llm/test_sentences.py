@@ -67,7 +67,7 @@ def test_rows(spark):
 
 
 CORPUS = (
-    ["Dr. Kim met the board.", "The chair, Dr. Lee, spoke of Kim and of Mr. Park."] * 8
+    ["Dr. Kim met the board.", "The chair, Dr. Lee, spoke of Kim and of Mr. Park."] * 30
     + ["They asked Dr. Kim at Co. level, by Mr. Lee and Kim.", "Rules of the U.S. apply.", "Staff of the U.S. agency came, said Lee and Kim."] * 6
     + ["Kim opened it.", "The guest was a Dr.", "Staff moved.", "It rests.", "To stay here he agreed. This they agreed, all agreed on this and to this. Nobody stayed, all stayed away."]
     + ["当局公布了。结论……至今没有。", "至今没有。"]
