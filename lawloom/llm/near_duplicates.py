@@ -1,20 +1,28 @@
 """Near-duplicate records over tables too large for pairwise comparison (problem 5).
 
-Each record is the set of its character shingles. All sets are put into one order, shingles that are rare in a sample
-first. Two sets as similar as asked have at least a known number of shingles in common, so the first of these lies in
-the beginning of both (prefix filter): of a set of n shingles the first n - ceil(t n) + 1, and where it is the smaller set
-of the pair the first n - ceil(2t/(1+t) n) + 1. Each record is signed by these shingles. Pairs that share a signature and
-whose sizes allow it are compared by their sketches, one parity bit for each class of shingles: sketches never
-differ in more bits than the sets in shingles, so no pair is lost. Every candidate left is verified on its whole sets.
-
-Guarantee. Every pair of at least the threshold is found, whatever the texts; the sample decides only about the cost.
-Nothing is capped.
-
-Scale. Records are identified by a hash of their text, so exact copies fold into one already in the map task. Signatures
-travel packed, five bytes each, one blob per map batch and hash bucket, with the sketch (about 1.4 bits a shingle) of each of
-its records; the number of buckets follows the number of rows, so a bucket has a bounded number of signatures. No
-table, link or component is collected or broadcast, only the frequencies (4 MB). The comparisons grow faster than the table where
-its vocabulary does not grow with it.
+Each record is the set of its character shingles. Two sets as similar as asked differ in a bounded number of shingles, so if the
+universe of all shingles is partitioned, they differ in few of the parts (pigeonhole). The partition has two levels.
+
+* Parts. Hashing splits the universe into a few parts, a part a bucket of its own. A similar pair is at least as similar as asked
+  within one part at least, for if it differed by more everywhere, it would differ by more altogether. So every bucket
+  is a small similarity join of its own: records of some forty shingles of two bytes each.
+* Segments. Within a bucket and a band of sizes (of the smaller record) hashing splits the part into segments. The larger record
+  is indexed with all its segments and their one-deletion neighbourhoods. The smaller one is allocated as many units as
+  a similar record can differ in, and one more: one unit on a segment looks its contents up, so the segments must be equal; a second
+  unit looks up its one-deletion neighbourhood, so they may differ in one shingle. If a pair is similar, at least one
+  segment differs by less than its units. The units go where they cost least, by the lengths of the lists in the index of
+  the bucket, counted exactly but for collisions of slots.
+
+Pairs found are compared by parity sketches of the part, which never differ in more bits than the sets in shingles, and then
+exactly, on the whole sets.
+
+Guarantee. Every pair of at least the threshold is found, whatever the texts; costs decide only about the work. Nothing is capped.
+
+Scale. Records are identified by a 64-bit hash of their text, so exact copies fold into one already in the map task; of n different
+texts two share a hash with a chance of n^2 / 2^65. What is shuffled is two bytes for each shingle and some twenty bytes for each
+record and part, packed in one blob per map batch and bucket. Where a bucket would hold more than ``records_per_bucket`` records, it is
+divided: a record then goes to each of the divisions its segments hash to, in which a similar one must meet it. No
+table, link or component is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -31,11 +39,14 @@ from lawloom.session import materialize, spread
 
 _U = np.uint64
 _GOLD = _U(0x9E3779B97F4A7C15)
-_BLOB_BATCH = 4000
-_FREQUENCIES = 1 << 21
-_SAMPLE = 20_000
-_RANK_BITS = 24
+_BATCH_CHARS = 6_000_000
 _FEW = 250_000
+#: Parts of the universe for records of at least ``_WHOLE`` shingles; smaller records have one part.
+_PARTS = 12
+_WHOLE = 128
+#: Sizes within a band differ by this factor at most; segments for each unit a record of the band may need.
+_RATIO = 1.25
+_SEGMENTS = 0.6
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,41 +82,12 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, _U)), sizes
 
 
-def _slot(tok: np.ndarray) -> np.ndarray:
-    return (_mix(tok) % _U(_FREQUENCIES)).astype(np.int64)
-
-
-def _least(share: float, n: np.ndarray) -> np.ndarray:
-    return np.ceil(share * n - 1e-9).astype(np.int64)
-
-
-def _words(sizes: np.ndarray) -> np.ndarray:
-    """The number of 64-bit words of a sketch: a power of two, more bits than shingles."""
-    return 1 << np.maximum(0, np.floor(np.log2(np.maximum(sizes, 32) / 32))).astype(np.int64)
-
-
-def _signatures(tok: np.ndarray, sizes: np.ndarray, threshold: float, frequency: np.ndarray):
-    """(record index, signature, whether it counts only for the larger set of a pair) of all records."""
-    order = (frequency[_slot(tok)].astype(_U) << _U(48)) | (_mix(tok) >> _U(16))
-    start = np.concatenate([[0], np.cumsum(sizes)])
-    longer = np.where(sizes > 0, sizes - _least(threshold, sizes) + 1, 0)
-    shorter = np.where(sizes > 0, sizes - _least(2 * threshold / (1 + threshold), sizes) + 1, 0)
-    parts = [np.sort(order[start[i] : start[i + 1]])[: longer[i]] for i in range(len(sizes))]
-    who = np.repeat(np.arange(len(sizes)), longer)
-    place = np.arange(len(who)) - np.repeat(np.cumsum(longer) - longer, longer)
-    return who, _mix(np.concatenate(parts) if parts else np.zeros(0, _U)), place >= shorter[who]
-
-
-def _sketches(tok: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The words of all sketches, one record's after the other: bit i tells whether an odd number of shingles fell on i."""
-    bits = _words(sizes) * 64
-    base = np.cumsum(bits) - bits
-    at = np.repeat(base, sizes) + (_mix(tok ^ _GOLD) & (np.repeat(bits, sizes) - 1).astype(_U)).astype(np.int64)
-    odd = (np.bincount(at, minlength=int(bits.sum())) & 1).astype(np.uint8)
-    return np.packbits(odd, bitorder="little").view("<u8")
-
-
-_ROW = np.dtype([("doc", "<i8"), ("size", "<u4"), ("n", "<u4")])
+def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, distinct keys, their first places in the order, their counts)."""
+    order = np.argsort(keys, kind="stable")
+    k = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
+    return order, k[first], first, np.diff(np.append(first, len(k)))
 
 
 def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -113,112 +95,212 @@ def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(start - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
 
 
-def _pack(ids: np.ndarray, sizes: np.ndarray, sketch: np.ndarray, who: np.ndarray, sig: np.ndarray, larger: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
-    """One blob for each bucket: the records (id, size, number of signatures), their sketches, then 5 bytes for each signature."""
-    bucket = ((sig >> _U(40)) % _U(buckets)).astype(np.int64)
-    order = np.lexsort((who, bucket))
-    bucket, who = bucket[order], who[order]
-    short = ((sig[order] << _U(1)) | larger[order].astype(_U)) & _U((1 << 40) - 1)
-    raw = short.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]
-    words = _words(sizes)
-    begin = np.cumsum(words) - words
-    cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
-    names, blobs = [], []
-    for a, b in zip(cuts[:-1], cuts[1:]):
+def _bands(largest: int) -> Iterator[tuple[int, int]]:
+    """(least, greatest) sizes of the bands up to ``largest``."""
+    low = 1
+    while low <= largest:
+        high = max(low, int(low * _RATIO))
+        yield low, high
+        low = high + 1
+
+
+def _most(threshold: float, sizes) -> np.ndarray:
+    """In how many shingles a record of these sizes and a larger one as similar as asked can differ."""
+    return np.floor((1 - threshold) / threshold * np.asarray(sizes) + 1e-9).astype(np.int64)
+
+
+class _Segments:
+    """The segments of records for a band: contents as sums of hashes, empty ones included."""
+
+    def __init__(self, record: np.ndarray, token: np.ndarray, records: int, m: int, band: int):
+        value = _mix(token.astype(_U) + _GOLD)
+        segment = ((value >> _U(40)) % _U(m)).astype(np.int64)
+        self.cell = record * m + segment
+        sums = np.zeros(records * m, _U)
+        np.add.at(sums, self.cell, value)
+        salt = _mix(np.arange(m).astype(_U) + _U(band * 1_000_003 + 1))
+        self.contents = _mix(sums + np.tile(salt, records))
+        self._less = lambda: _mix(sums[self.cell] - value + salt[segment])
+
+    def deletions(self) -> np.ndarray:
+        """For each token the contents of its segment without it."""
+        return self._less()
+
+
+def _sketches(record: np.ndarray, token: np.ndarray, records: int, words: int) -> np.ndarray:
+    """Parity sketches: bit i tells whether an odd number of tokens fell on i."""
+    bit = _mix(token.astype(_U) + _U(77)) & _U(64 * words - 1)
+    out = np.zeros(records * words, _U)
+    np.bitwise_xor.at(out, record * words + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
+    return out.reshape(records, words)
+
+
+def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token: np.ndarray, threshold: float, spent: dict | None = None, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of records of a bucket that may be similar within its part. Records come in the order of ``size``, their shingles
+    in the part; ``total`` are their shingles altogether, ``held`` how many of the flat ``token`` (fingerprints) are theirs."""
+    if not len(size):
+        return
+    start = np.concatenate([[0], np.cumsum(held)])
+    owner = np.repeat(np.arange(len(size)), held)
+    share = (1 - threshold) / (1 + threshold)
+    for low, high in _bands(int(size[-1])):
+        s0, s1 = np.searchsorted(size, [low, high + 1])
+        l1 = int(np.searchsorted(size, int(high / threshold + 1e-9) + 1))
+        small, large = int(s1 - s0), int(l1 - s0)
+        if not small or large < 2:
+            continue
+        m = max(1, int(np.ceil(_SEGMENTS * (int(_most(threshold, high)) + 1))))
+        record, tok = owner[start[s0] : start[l1]] - s0, token[start[s0] : start[l1]]
+        segments = _Segments(record, tok, large, m, high)
+        exact, less, cell = segments.contents, segments.deletions(), segments.cell
+        mine = int(start[s1] - start[s0])  # tokens of the smaller records
+        # lengths of lists, counted in slots: those of equal contents, and those reached by one deletion on either side
+        shift = _U(64 - max(10, min(24, int(np.ceil(np.log2(3 * (len(less) + len(exact)) + 4))))))
+        at_exact, at_less = (exact >> shift).astype(np.int64), (less >> shift).astype(np.int64)
+        slots = 1 << (64 - int(shift))
+        n_exact, n_less = np.bincount(at_exact, minlength=slots), np.bincount(at_less, minlength=slots)
+        one = n_exact[at_exact[: small * m]]
+        reached = n_exact[at_less[:mine]]
+        two = n_less[at_exact[: small * m]] + np.bincount(cell[:mine], reached, small * m).astype(np.int64)
+        # a second unit comes after the first of its segment, so it must not be cheaper
+        cost = np.concatenate([one.reshape(small, m) * 2, np.maximum(one, two).reshape(small, m) * 2 + 1], axis=1)
+        rank = np.empty(cost.shape, np.int64)
+        np.put_along_axis(rank, np.argsort(cost, axis=1, kind="stable"), np.arange(2 * m)[None, :], 1)
+        take = rank < (_most(threshold, size[s0:s1]) + 1)[:, None]
+        first, second = take[:, :m].ravel(), take[:, m:].ravel()
+        cells, cells2 = np.flatnonzero(first), np.flatnonzero(second)
+        dropped = np.flatnonzero(second[cell[:mine]] & (reached > 0))
+        asked = np.zeros(slots, bool)
+        asked[at_exact[cells]] = True
+        asked[at_less[dropped]] = True
+        e = np.flatnonzero(asked[at_exact])
+        e_order, e_keys, e_first, e_count = _runs(exact[e])
+        asked[:] = False
+        asked[at_exact[cells2]] = True
+        d = np.flatnonzero(asked[at_less])
+        d_order, d_keys, d_first, d_count = _runs(less[d])
+        words = 1 << max(2, int(np.ceil(np.log2(high / 16))))
+        sketch = _sketches(record, tok, large, min(words, 1024))
+        if spent is not None:
+            spent["one"] = spent.get("one", 0) + len(cells) - len(cells2)
+            spent["two"] = spent.get("two", 0) + len(cells2)
+        lists = (
+            (cells // m, exact[cells], e_keys, e_first, e_count, e[e_order] // m),
+            (cells2 // m, exact[cells2], d_keys, d_first, d_count, record[d[d_order]]),
+            (record[dropped], less[dropped], e_keys, e_first, e_count, e[e_order] // m),
+        )
+        for who, asks, keys, places, counts, entries in lists:
+            if not len(keys) or not len(who):
+                continue
+            i = np.minimum(np.searchsorted(keys, asks), len(keys) - 1)
+            hit = keys[i] == asks
+            who, places, width = who[hit], places[i[hit]], counts[i[hit]]
+            ends, at = np.cumsum(width), 0
+            while at < len(who):
+                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+                a, b = np.repeat(who[at:stop], width[at:stop]), entries[_slices(places[at:stop], width[at:stop])]
+                at = stop
+                ok = b > a
+                a, b = a[ok] + s0, b[ok] + s0
+                ok = (size[a] >= threshold * size[b] - 1e-9) & (np.minimum(total[a], total[b]) >= threshold * np.maximum(total[a], total[b]) - 1e-9)
+                a, b = a[ok], b[ok]
+                step = max(1, chunk // sketch.shape[1])
+                keep = [np.zeros(0, np.int64)]
+                for x in range(0, len(a), step):
+                    differ = np.bitwise_count(sketch[a[x : x + step] - s0] ^ sketch[b[x : x + step] - s0]).sum(1, dtype=np.int64)
+                    keep.append(x + np.flatnonzero(differ <= share * (size[a[x : x + step]] + size[b[x : x + step]]) + 1e-9))
+                k = np.concatenate(keep)
+                pair = np.unique(a[k] * np.int64(len(size)) + b[k])
+                yield pair // len(size), pair % len(size)
+
+
+_ROW = np.dtype([("doc", "<i8"), ("total", "<u4"), ("size", "<u4"), ("held", "<u4")])
+
+
+def _divisions(size: np.ndarray, held: np.ndarray, token: np.ndarray, divisions: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(record, division): where the records of a part go if their bucket is divided. In each band a record is in reach of, every
+    segment sends it to the division of its contents: a similar record has one segment like it at least."""
+    order = np.argsort(size, kind="stable")
+    start = np.cumsum(held) - held
+    flat = token[_slices(start[order], held[order])]
+    size, held = size[order], held[order]
+    first, owner = np.concatenate([[0], np.cumsum(held)]), np.repeat(np.arange(len(size)), held)
+    got = []
+    for low, high in _bands(int(size[-1]) if len(size) else 0):
+        a, b = np.searchsorted(size, [low, int(high / threshold + 1e-9) + 1])
         if a == b:
             continue
-        first = np.concatenate([[0], np.flatnonzero(np.diff(who[a:b])) + 1, [b - a]])
-        docs = who[a + first[:-1]]
-        head = np.empty(len(docs), _ROW)
-        head["doc"], head["size"], head["n"] = ids[docs], sizes[docs], np.diff(first)
-        names.append(int(bucket[a]))
-        blobs.append(np.uint32(len(docs)).tobytes() + head.tobytes() + sketch[_slices(begin[docs], words[docs])].tobytes() + raw[a:b].tobytes())
-    return names, blobs
-
-
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(signature with its bit, index of its record), ids, sizes and places of the sketches of the records in the order of their
-    sizes, and the words of the sketches; copies folded into one."""
-    heads, sigs, sketches = [], [], []
+        m = int(_most(threshold, high)) + 1
+        contents = _Segments(owner[first[a] : first[b]] - a, flat[first[a] : first[b]], int(b - a), m, high).contents
+        got.append(np.repeat(np.arange(a, b), m) * divisions + (contents % _U(divisions)).astype(np.int64))
+    keys = np.unique(np.concatenate(got)) if got else np.zeros(0, np.int64)
+    return order[keys // divisions], keys % divisions
+
+
+def _pack(ids: np.ndarray, tok: np.ndarray, sizes: np.ndarray, threshold: float, divisions: int) -> Iterator[tuple[int, bytes]]:
+    """(bucket, blob) of a batch of records: heads of the records in the bucket, then their fingerprints, two bytes each."""
+    mixed = _mix(tok)
+    record = np.repeat(np.arange(len(sizes)), sizes)
+    finger = (mixed >> _U(16)) & _U(0xFFFF)
+    part = (mixed % _U(_PARTS)).astype(np.int64) + 1
+    big, near = sizes >= _WHOLE, sizes * threshold < _WHOLE
+    for p in range(_PARTS + 1):
+        chosen = near[record] if p == 0 else big[record] & (part == p)
+        who, fp = record[chosen], finger[chosen]
+        if not len(who):
+            continue
+        size = np.bincount(who, minlength=len(sizes))
+        key = np.unique((who.astype(_U) << _U(16)) | fp)  # fingerprints of a record that coincide count once
+        token = (key & _U(0xFFFF)).astype("<u2")
+        held = np.bincount((key >> _U(16)).astype(np.int64), minlength=len(sizes))
+        there = np.flatnonzero(held)
+        if divisions == 1:
+            routes = [(0, there)]
+        else:
+            rows, division = _divisions(size[there], held[there], token, divisions, threshold)
+            routes = [(int(d), there[rows[division == d]]) for d in np.unique(division)]
+        start = np.cumsum(held) - held
+        for d, docs in routes:
+            head = np.empty(len(docs), _ROW)
+            head["doc"], head["total"], head["size"], head["held"] = ids[docs], sizes[docs], size[docs], held[docs]
+            yield p * divisions + d, np.uint32(len(docs)).tobytes() + head.tobytes() + token[_slices(start[docs], held[docs])].tobytes()
+
+
+def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, totals, sizes, held and flat tokens of the records in the order of their sizes; copies folded into one."""
+    heads, tokens = [], []
     for blob in blobs:
         n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        head = np.frombuffer(blob, _ROW, n, 4)
-        heads.append(head)
-        at = 4 + n * _ROW.itemsize
-        words = int(_words(head["size"]).sum())
-        sketches.append(np.frombuffer(blob, "<u8", words, at))
-        raw = np.frombuffer(blob, np.uint8, -1, at + words * 8).reshape(-1, 5)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :5] = raw
-        sigs.append(wide.view("<u8").ravel())
-    head = np.concatenate(heads)
-    ids, first, index = np.unique(head["doc"], return_index=True, return_inverse=True)
-    size = head["size"][first].astype(np.int64)
-    words = _words(head["size"])
-    begin = (np.cumsum(words) - words)[first]
-    order = np.argsort(size, kind="stable")
-    rank = np.empty(len(ids), np.int64)
-    rank[order] = np.arange(len(ids))
-    return np.concatenate(sigs), np.repeat(rank[index], head["n"]), ids[order], size[order], begin[order], np.concatenate(sketches)
-
-
-class _Near:
-    """Whether the sketches of two records allow the threshold; of two lengths the longer sketch is folded."""
-
-    def __init__(self, size: np.ndarray, begin: np.ndarray, sketch: np.ndarray, threshold: float):
-        self.size, self.share, words = size, (1 - threshold) / (1 + threshold), _words(size)
-        self.words, self.first, self.table = words, {}, {}
-        table = np.zeros((0, 1), _U)
-        for w in sorted(set(words.tolist()), reverse=True):
-            while table.shape[0] and table.shape[1] > w:
-                table = table[:, : table.shape[1] // 2] ^ table[:, table.shape[1] // 2 :]
-            own = np.flatnonzero(words == w)  # sizes ascend, so the records of longer sketches are those after these
-            table = np.concatenate([sketch[begin[own][:, None] + np.arange(w)], table.reshape(-1, w)])
-            self.first[w], self.table[w] = int(own[0]), table
-
-    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """For records a of at most the size of b."""
-        ok = np.zeros(len(a), bool)
-        most = self.share * (self.size[a] + self.size[b]) + 1e-9
-        words = self.words[a]
-        for w, table in self.table.items():
-            which = np.flatnonzero(words == w)
-            step = max(1, 2_000_000 // w)
-            for at in range(0, len(which), step):
-                i = which[at : at + step]
-                x = table[a[i] - self.first[w]] ^ table[b[i] - self.first[w]]
-                ok[i] = np.bitwise_count(x).sum(1, dtype=np.int64) <= most[i]
-        return ok
-
-
-def _pairs(blobs: list[bytes], threshold: float, chunk: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Record pairs that share a signature and whose sizes and sketches allow the threshold."""
-    sig, doc, ids, size, begin, sketch = _unpack(blobs)
-    if len(ids) >= 1 << _RANK_BITS:
-        raise RuntimeError("too many records in a bucket; lower signatures_per_bucket")
-    near = _Near(size, begin, sketch, threshold)
-    whole = np.sort(((sig >> _U(1)) << _U(_RANK_BITS + 1)) | (doc.astype(_U) << _U(1)) | (sig & _U(1)))
-    place, larger = whole >> _U(1), (whole & _U(1)) == 1
-    fresh = np.ones(len(whole), bool)
-    fresh[1:] = place[1:] != place[:-1]  # a copy from another batch; the entry for both roles comes first
-    place, larger = place[fresh], larger[fresh]
-    doc = (place & _U((1 << _RANK_BITS) - 1)).astype(np.int64)
-    # an entry pairs with those after it in its run up to the largest size allowed
-    limit = np.searchsorted(size, size / threshold + 1e-6, "right")
-    first = np.flatnonzero(~larger)
-    last = np.searchsorted(place, place[first] - doc[first].astype(_U) + limit[doc[first]].astype(_U), "left")
-    width = last - first - 1
-    first, width = first[width > 0], width[width > 0]
-    at = 0
-    ends = np.cumsum(width)
-    while at < len(first):
-        stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
-        w = width[at:stop]
-        a, b = np.repeat(doc[first[at:stop]], w), doc[_slices(first[at:stop] + 1, w)]
-        ok = near(a, b)
-        a, b = ids[a[ok]], ids[b[ok]]
+        heads.append(np.frombuffer(blob, _ROW, n, 4))
+        tokens.append(np.frombuffer(blob, "<u2", -1, 4 + n * _ROW.itemsize))
+    head, flat = np.concatenate(heads), np.concatenate(tokens)
+    ids, first = np.unique(head["doc"], return_index=True)
+    start = (np.cumsum(head["held"].astype(np.int64)) - head["held"])[first]
+    head = head[first]
+    order = np.argsort(head["size"], kind="stable")
+    head, start = head[order], start[order]
+    held = head["held"].astype(np.int64)
+    return head["doc"].astype(np.int64), head["total"].astype(np.int64), head["size"].astype(np.int64), held, flat[_slices(start, held)]
+
+
+def _pairs(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of ids that may be similar within the part of a bucket."""
+    ids, total, size, held, token = _unpack(blobs)
+    for a, b in _bucket_pairs(total, size, held, token, threshold):
+        a, b = ids[a], ids[b]
         yield np.minimum(a, b), np.maximum(a, b)
-        at = stop
+
+
+def _batches(lengths: list[int]) -> Iterator[slice]:
+    """Slices of at most ``_BATCH_CHARS`` characters, a longer text alone."""
+    at = run = 0
+    for i, n in enumerate(lengths):
+        if i > at and run + n > _BATCH_CHARS:
+            yield slice(at, i)
+            at, run = i, 0
+        run += n
+    if at < len(lengths):
+        yield slice(at, len(lengths))
 
 
 def _similarities(left: list[int], right: list[int], texts: dict[int, str], width: int) -> np.ndarray:
@@ -256,7 +338,7 @@ def normalized_text(*columns: str):
 
 
 def near_duplicate_classes(
-    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, signatures_per_bucket: int = 4_000_000,
+    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, records_per_bucket: int = 200_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has record_id and class_id, one row per record with a text; records of equal
     text form a class. links has class_a < class_b and similarity, one row per pair of classes with Jaccard similarity
@@ -268,32 +350,19 @@ def near_duplicate_classes(
     """
     base = spread(records).select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
     base = base.select("record_id", "t", F.xxhash64("t").alias("class_id"))
-    rows = records.count()
-    buckets = max(12, -(-rows * 150 // signatures_per_bucket))
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros(_FREQUENCIES, np.int64)
-        for batch in batches:
-            for at in range(0, batch.num_rows, _BLOB_BATCH):
-                n += np.bincount(_slot(shingle_sets(batch.column(0)[at : at + _BLOB_BATCH].to_pylist(), width)[0]), minlength=_FREQUENCIES)
-        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(n, 65535).astype("<u2").tobytes()], pa.binary())], ["n"])
-
-    sample = base.where(F.pmod(F.xxhash64("record_id"), F.lit(max(1, rows // _SAMPLE))) == 0).select("t").coalesce(6)
-    counted = [np.frombuffer(r.n, "<u2").astype(np.int64) for r in sample.mapInArrow(count, "n binary").collect()]  # six parts at most
-    frequencies = records.sparkSession.sparkContext.broadcast(np.minimum(sum(counted, np.zeros(_FREQUENCIES, np.int64)), 65535).astype(np.uint16))
-
+    divisions = max(1, -(-records.count() // records_per_bucket))
+    buckets = (_PARTS + 1) * divisions
     names_of = _partition_keys(records.sparkSession, buckets)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for at in range(0, whole.num_rows, _BLOB_BATCH):
-                batch = whole.slice(at, _BLOB_BATCH)
-                ids, where = np.unique(batch.column(0).to_numpy(), return_index=True)
-                texts = batch.column(1).take(pa.array(where)).to_pylist()
-                tok, sizes = shingle_sets(texts, width)
-                got = _signatures(tok, sizes, threshold, frequencies.value)
-                names, blobs = _pack(ids, sizes, _sketches(tok, sizes), *got, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(names_of[names], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            ids, where = np.unique(whole.column(0).to_numpy(), return_index=True)
+            texts = whole.column(1).take(pa.array(where)).to_pylist()
+            for cut in _batches([len(t) for t in texts]):
+                tok, sizes = shingle_sets(texts[cut], width)
+                packed = list(_pack(ids[cut], tok, sizes, threshold, divisions))
+                names = np.array([name for name, _ in packed], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(names_of[names], pa.int32()), pa.array([blob for _, blob in packed], pa.binary())], ["bucket", "blob"])
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close(blobs):
@@ -327,8 +396,8 @@ def near_duplicate_classes(
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                p = pdf.iloc[at : at + 1000]
+            for cut in _batches((pdf.ta.str.len() + pdf.tb.str.len()).tolist()):
+                p = pdf.iloc[cut]
                 texts = dict(zip(p.class_a.tolist(), p.ta)) | dict(zip(p.class_b.tolist(), p.tb))
                 s = _similarities(p.class_a.tolist(), p.class_b.tolist(), texts, width)
                 ok = s >= threshold - 1e-12

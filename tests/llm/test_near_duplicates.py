@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
+from lawloom.llm import near_duplicates
 from lawloom.llm.near_duplicates import near_duplicate_classes, near_duplicate_groups, normalized_text
 
 
@@ -106,6 +108,30 @@ def test_no_pair_is_left_to_chance(spark):
     assert len(want) > 200 and classes(spark, texts, threshold=0.35)[1] == want
 
 
+def test_divided_buckets(spark):
+    texts = corpus(120, 4)
+    for threshold in (0.7, 0.5):
+        assert classes(spark, texts, threshold=threshold, records_per_bucket=25)[1] == brute(texts, threshold)
+
+
+def test_bucket_pairs_are_complete_and_use_deletions():
+    """All pairs similar within a part are found, by equal segments and by segments with one shingle less."""
+    rng = np.random.default_rng(3)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(3000, int(rng.choice([3, 8, 30, 80])), replace=False)
+        for _ in range(3):
+            kept = base[rng.random(len(base)) > rng.choice([0.0, 0.05, 0.12])]
+            sets.append(np.unique(np.concatenate([kept, rng.choice(3000, int(rng.integers(0, 1 + len(base) // 8)))])).astype("<u2"))
+    sets = sorted((x for x in sets if len(x)), key=len)
+    size = np.array([len(x) for x in sets])
+    spent = {}
+    got = {(int(a), int(b)) for p in near_duplicates._bucket_pairs(size, size, size, np.concatenate(sets), 0.7, spent) for a, b in zip(*p)}
+    lists = [set(x.tolist()) for x in sets]
+    want = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(lists[i] & lists[j]) >= 0.7 * len(lists[i] | lists[j])}
+    assert want <= got and len(want) > 60 and spent["one"] > 0 and spent["two"] > 0
+
+
 def test_groups_of_every_article(spark, tmp_path):
     from lawloom.llm.near_duplicates import p5_groups
 
