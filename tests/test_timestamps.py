@@ -80,6 +80,22 @@ def test_em_weights():
     assert fit_cells(cells, "dmy", strength=100).post1.iloc[2] < 0.2
 
 
+def test_values_outweigh_a_declaration():
+    """5,000 values that can only be dmy leave 100 ambiguous ones ambiguous or dmy though mdy is declared, at any size; a
+    source whose values say nothing follows its declaration."""
+    for times in (1, 100):
+        cells = pd.DataFrame({"_src": "s", "f1": ["dmy", "mdy"], "mon1": [10, 10], "f2": [None, "dmy"], "mon2": [None, 10], "n": [5000 * times, 100 * times]})
+        assert fit_cells(cells, "mdy").post1.iloc[1] < 0.5
+    alone = pd.DataFrame({"_src": "s", "f1": ["mdy"], "mon1": [10], "f2": ["dmy"], "mon2": [10], "n": [100_000]})
+    assert fit_cells(alone, "mdy").post1.iloc[0] > 0.9 and fit_cells(alone, "dmy").post1.iloc[0] < 0.1
+
+
+def test_contradicted_declaration_is_marked(spark):
+    values = [("ny", f"{d}/{m}/2024") for d in range(13, 29) for m in range(1, 13)] * 25 + [("ny", "03/04/2024")]
+    out = run(spark, values)
+    assert out[-1][0] in ("2024-04-03", None)
+
+
 @pytest.mark.parametrize("name", ["p1_found"])
 def test_query_schema(spark, root, name):
     import __spark_entry__ as e
