@@ -197,7 +197,7 @@ def _name(stretch: str, model: ChainModel, margin: float, legacy: bool = True) -
     order = np.argsort(-s, kind="stable")
     if _LOST in stretch:
         label = model.labels[order[0]]
-        return (label if label != "clean" else "unknown"), stretch
+        return (label if label != "clean" else None), stretch
     for k in order[:4]:
         name = model.labels[k]
         if name == "clean" or s[k] - s[0] < margin:
@@ -233,8 +233,13 @@ def train_model(clean: DataFrame, text_col: str = "text", sample_rows: int = 600
     the ones with the smallest hash of their text, so the choice is the same however the table is stored; each is
     garbled by every chain. Records beyond ``max_chars`` are left out of the sample."""
     c = F.col(text_col)
-    picked = clean.where(c.isNotNull() & (F.length(c) > 20) & (F.length(c) <= max_chars) & ~c.contains(_LOST)).select(c.alias("t"))
-    return ChainModel.train([r.t for r in picked.orderBy(F.xxhash64("t"), "t").limit(sample_rows).collect()])
+    picked = clean.where(c.isNotNull() & (F.length(c) > 20) & (F.length(c) <= max_chars) & ~c.contains(_LOST)).select(c.alias("t"), F.pmod(F.xxhash64(c), F.lit(1 << 40)).alias("h"))
+    share = min(1.0, 3 * sample_rows / max(1, clean.count()))
+    while True:  # a share of the hashes that holds the sample and little more, so partitions send next to nothing else
+        texts = [r.t for r in picked.where(F.col("h") < int(share * (1 << 40))).orderBy("h", "t").limit(sample_rows).collect()]
+        if len(texts) == sample_rows or share == 1.0:
+            return ChainModel.train(texts)
+        share = min(1.0, 4 * share)
 
 
 def repair_encoding(records: DataFrame, model: ChainModel, fields: tuple[str, ...] = ("title", "content_text"), id_col: str = "id") -> DataFrame:

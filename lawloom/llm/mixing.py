@@ -5,14 +5,16 @@ and a last partial one, each pass in its own permutation. A multivariate-hyperge
 of all sources to the output shards: each node splits its counts among its two halves exactly, so that every shard is
 a fair sample of the whole mixture and no draw is dealt twice. Within a shard the texts are shuffled by a hash.
 
-A source has at most ``max_blocks`` blocks (they grow with it), so the plan in the driver is bounded by the number of
-sources, blocks and shards; the texts' rows are joined with it and sorted once, by shard. Shards have a bounded
-number of tokens, a source that holds most rows is spread over all of them.
+The tree has two storeys. The driver deals at most ``max_blocks`` blocks of a source (they grow with it) to at most
+``max_groups`` groups of shards, so its plan is bounded. Where a group is more than a shard, it is dealt on by the same tree
+among its shards, each group by itself in a task, in blocks of ``block_tokens`` again: shards have the wanted number of
+tokens whatever the size of the sources. The texts' rows are joined with the plan and sorted once, by shard.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +58,7 @@ def _counted(documents: DataFrame, names: list[str], id_col: str, text_col: str,
 
 def mix_sources(
     documents: DataFrame, targets: dict[str, tuple[float, int]], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shard_tokens: int = 250_000,
-    max_blocks: int = 20_000, block_tokens: int = 2_000, seed: int = 7, tokenizer: str | None = None,
+    max_blocks: int = 20_000, block_tokens: int = 2_000, max_groups: int = 2_000, seed: int = 7, tokenizer: str | None = None,
 ) -> DataFrame:
     """shard, position (from 0 in its shard), doc_id, source, copy_no (from 0), n_tokens: the largest mixture in which each
     source supplies its target share of the tokens and no text is used more than its source's max_repeats times.
@@ -109,7 +111,8 @@ def mix_sources(
     if not plan:
         return spark.createDataFrame([], "shard int, position bigint, doc_id bigint, source string, copy_no int, n_tokens bigint")
     shards = max(1, round(total / shard_tokens))
-    dealt = split_tree(np.array([d for _, d in order]), shards, seed)
+    groups = min(shards, max_groups)
+    dealt = split_tree(np.array([d for _, d in order]), groups, seed)
     ends = {s: np.cumsum(dealt[:, i]) for i, (s, _) in enumerate(order)}
     rows = [(s, k, copy, int(np.searchsorted(ends[s], draw, "right"))) for s, k, copy, draw in plan]
     dealt_df = spark.createDataFrame(rows, "source string, block int, copy_no int, shard int")
@@ -122,10 +125,34 @@ def mix_sources(
     by = Window.partitionBy("source", "copy_no").orderBy(F.xxhash64("item_id", "copy_no"), "item_id").rowsBetween(Window.unboundedPreceding, 0)
     part = drawn.join(F.broadcast(limit), key).withColumn("run", F.sum("n_tokens").over(by)).where(F.col("run") - F.col("n_tokens") / 2 <= F.col("room"))
     mixed = kept.unionByName(part.select("shard", "item_id", "source", "copy_no", "n_tokens"))
+    if shards > groups:
+        mixed = _deal_groups(mixed, -(-shards // groups), block_tokens, seed)
     shuffled = Window.partitionBy("shard").orderBy(F.xxhash64("item_id", "copy_no", "shard"), "item_id", "copy_no")
     return mixed.select("shard", (F.row_number().over(shuffled) - 1).cast("bigint").alias("position"), F.col("item_id").alias("doc_id"), "source", "copy_no", "n_tokens")
 
 
+def _deal_groups(mixed: DataFrame, each: int, block_tokens: int, seed: int) -> DataFrame:
+    """The second storey: the texts of each group (column shard) dealt to ``each`` shards, in blocks by hash."""
+    mixed = materialize(mixed, "groups")
+    held = mixed.groupBy("shard", "source").agg(F.ceil(F.sum("n_tokens") / block_tokens).cast("int").alias("blocks"))
+
+    def deal(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("source")
+        group = int(pdf.shard.iloc[0])
+        leaves = split_tree(pdf.blocks.to_numpy(np.int64), each, seed * 1_000_003 + group)
+        rng = np.random.default_rng((seed, group))
+        out = []
+        for i, (source, blocks) in enumerate(zip(pdf.source, pdf.blocks)):
+            of = np.empty(blocks, np.int64)
+            of[rng.permutation(blocks)] = np.repeat(np.arange(each), leaves[:, i])
+            out.append(pd.DataFrame({"shard": group, "source": source, "part": np.arange(blocks), "leaf": of}))
+        return pd.concat(out)
+
+    plan = held.groupBy("shard").applyInPandas(deal, "shard int, source string, part int, leaf int")
+    split = mixed.join(held, ["shard", "source"]).withColumn("part", F.pmod(F.xxhash64("item_id", "copy_no", F.lit(seed + 1)), F.col("blocks")).cast("int"))
+    return split.join(plan, ["shard", "source", "part"]).select((F.col("shard") * each + F.col("leaf")).alias("shard"), "item_id", "source", "copy_no", "n_tokens")
+
+
 def _targets(spark, root: str) -> dict[str, tuple[float, int]]:
     # a table of parameters, one row per source of the mixture
     return {r.source: (r.target_share, r.max_repeats) for r in spark.read.parquet(f"{root}/mix_targets.parquet").collect()}

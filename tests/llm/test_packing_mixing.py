@@ -92,6 +92,20 @@ def test_mix(spark):
     assert mix_sources(df.where("false"), targets).count() == 0
 
 
+def test_two_storeys(spark):
+    """More shards than the driver deals: the groups are dealt on, nothing is lost and shards keep size and shares."""
+    data = [(i, "some words here " * (1 + i % 5), "big" if i % 10 else "small") for i in range(2000)]
+    df = spark.createDataFrame(data, "doc_id bigint, text string, source string")
+    targets = {"big": (0.6, 2), "small": (0.4, 3)}
+    one = mix_sources(df, targets, shard_tokens=900, block_tokens=40).toPandas()
+    two = mix_sources(df, targets, shard_tokens=900, block_tokens=40, max_groups=2).toPandas()
+    assert sorted(zip(one.doc_id, one.copy_no)) == sorted(zip(two.doc_id, two.copy_no)) and abs(two.shard.nunique() - one.shard.nunique()) <= 1
+    per = two.groupby("shard").n_tokens.sum()
+    assert per.max() < 2 * 900 and (two.groupby("shard").position.max() + 1 == two.groupby("shard").size()).all()
+    share = two[two.source == "small"].groupby("shard").n_tokens.sum() / per
+    assert ((share - 0.4).abs() < 0.25).all()
+
+
 def test_queries(spark, root):
     import __spark_entry__ as e
 
