@@ -119,14 +119,9 @@ def similar_titles(articles: DataFrame, queries: DataFrame, limit: int = 8) -> D
     """query_id, doc_id, score, rank: articles of the same organisation or channel with the best BM25 match to the
     query article's title tokens. Nulls are equal to nothing."""
     words = F.filter(text.pair_tokens(F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content_text", F.lit(""))))), lambda t: F.length(t) >= 2)
-    index = Bm25Index(articles, "id", words, k1=1.2)
-    asked = queries.select(F.col("id").alias("query_id"), text.title_tokens(F.col("title")).alias("tokens")).where(F.size("tokens") > 0)
-    meta = articles.select("id", "organization", "source_channel")
-    scored = index.search(asked, limit=1 << 30, skip_self=True).drop("rank")
-    scored = scored.join(meta.select(F.col("id").alias("doc_id"), F.col("organization").alias("o2"), F.col("source_channel").alias("c2")), "doc_id")
-    scored = scored.join(meta.select(F.col("id").alias("query_id"), F.col("organization").alias("o1"), F.col("source_channel").alias("c1")), "query_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "doc_id"))
-    return scored.where((F.col("o1") == F.col("o2")) | (F.col("c1") == F.col("c2"))).select("query_id", "doc_id", "score", rank.alias("rank")).where(F.col("rank") <= limit)
+    index = Bm25Index(articles, "id", words, k1=1.2, alike=("organization", "source_channel"))
+    asked = queries.select(F.col("id").alias("query_id"), text.title_tokens(F.col("title")).alias("tokens"), "organization", "source_channel").where(F.size("tokens") > 0)
+    return index.search(asked, limit, skip_self=True).select("query_id", "doc_id", "score", "rank")
 
 
 @F.pandas_udf(DoubleType())

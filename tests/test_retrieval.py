@@ -164,3 +164,45 @@ def test_chunk_vectors_to_add(spark, root):
                 want[str(uuid.UUID(hashlib.md5(f"{r.doc_id}#{i}".encode()).hexdigest()))] = (str(r.doc_id), i)
     got = {r.point_id: (r.doc_id, r.chunk_no) for r in e.queries()["chunk_vectors_to_add"](spark, root).collect()}
     assert got == want and any(no for _, no in got.values())
+
+
+def test_many_queries_meet_documents_by_a_join(spark, monkeypatch):
+    docs = [(i, [f"w{(i * k) % 17}" for k in range(1, 8)], "a" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(docs, "id bigint, words array<string>, org string")
+    asked = df.where("id < 12").selectExpr("id as query_id", "words as tokens", "org")
+    for alike in ((), ("org",)):
+        index = retrieval.Bm25Index(df, "id", F.col("words"), alike=alike)
+        sent = {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in index.search(asked, 7, skip_self=True).collect()}
+        with monkeypatch.context() as m:
+            m.setattr(retrieval, "_MOST_PAIRS", 3)
+            assert {(r.query_id, r.doc_id, round(r.score, 9), r["rank"]) for r in index.search(asked, 7, skip_self=True).collect()} == sent
+        assert sent and not any(q == d for q, d, _, _ in sent)
+        if alike:
+            assert all(q % 3 and d % 3 for q, d, _, _ in sent)
+    assert retrieval.Bm25Index(df.where("false"), "id", F.col("words")).search(asked, 5).count() == 0
+    assert retrieval.Bm25Index(df, "id", F.col("words")).search(asked.where("false"), 5).count() == 0
+
+
+def test_best_rows_of_blocks_with_ties():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    scores = np.round(rng.random((500, 6)), 1)
+    scores[rng.random(scores.shape) < 0.3] = -np.inf
+    docs = rng.permutation(500)
+    best = retrieval._Best(6, 9)
+    for at in range(0, 500, 37):
+        best.add(scores[at : at + 37], docs[at : at + 37])
+    q, s, d = best.settle()
+    for k in range(6):
+        want = sorted((-x, i) for x, i in zip(scores[:, k], docs) if np.isfinite(x))[:9]
+        assert [(-x, i) for x, i in zip(s[q == k], d[q == k])] == want
+
+
+def test_dense_search_in_blocks_of_queries(spark):
+    rows = [(i, [float((i * k) % 7) for k in range(1, 5)]) for i in range(40)] + [(99, None)]
+    v = spark.createDataFrame(rows, "doc_id bigint, embedding array<double>")
+    asked = v.selectExpr("doc_id as query_id", "embedding").where("query_id < 15")
+    whole = {tuple(r) for r in retrieval.dense_search(asked, v, 5).collect()}
+    assert {tuple(r) for r in retrieval.dense_search(asked, v, 5, block=4).collect()} == whole and len(whole) > 50
+    assert retrieval.dense_search(asked.where("false"), v, 5).count() == 0
