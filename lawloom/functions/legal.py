@@ -20,7 +20,9 @@ LISTS: dict[str, tuple[str, str, dict[str, str]]] = {
         {"case_num": "[^:：\\n]*번호", "court": "[^:：\\n]*(?:법원|기관|관청)[^:：\\n]*", "date": "[^:：\\n]*(?:선고일|결정일|발령일|날짜|일자)[^:：\\n]*", "kind": "[^:：\\n]*(?:구분|종류|유형)[^:：\\n]*", "summary": "[^:：\\n]*(?:주문|결론|요지|핵심)[^:：\\n]*"},
     ),
 }
-_MENTION_ENDS = "(?:법|령|규칙|규정|고시|조례)"
+# Names of laws in corner brackets, and before an article.
+_MENTION_QUOTED = r"[「『｢]([^」』｣]{2,80}(?:법|령|규칙|규정|고시|조례))[^」』｣]*[」』｣]"
+_MENTION_PLAIN = r"([가-힣A-Za-z0-9ㆍ·\s]{2,80}(?:법|령|규칙|규정|고시|조례))\s*제\d+조"
 _ARTICLE = r"(?:제\s*)?(\d+)\s*조(?:\s*의\s*(\d+))?"
 
 
@@ -75,8 +77,8 @@ def without_article(text: Column) -> Column:
 
 def law_mentions(text: Column, limit: int = 12) -> Column:
     """Names of laws: those in corner brackets, then those before an article; distinct, in order of appearance."""
-    quoted = F.regexp_extract_all(_text(text), F.lit(rf"[「『｢]([^」』｣]{{2,80}}{_MENTION_ENDS})[^」』｣]*[」』｣]"), F.lit(1))
-    plain = F.regexp_extract_all(_text(text), F.lit(rf"([가-힣A-Za-z0-9ㆍ·\s]{{2,80}}{_MENTION_ENDS})\s*제\d+조"), F.lit(1))
+    quoted = F.regexp_extract_all(_text(text), F.lit(_MENTION_QUOTED), F.lit(1))
+    plain = F.regexp_extract_all(_text(text), F.lit(_MENTION_PLAIN), F.lit(1))
     names = F.transform(F.concat(quoted, plain), lambda n: F.trim(F.regexp_replace(n, r"(?U)\s+", " ")))
     return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n) >= 2)), 1, limit)
 

@@ -79,11 +79,16 @@ def date_range(c: Column) -> Column:
     return F.struct(notice_date(F.try_element_at(parts, F.lit(1))).alias("start_day"), notice_date(F.try_element_at(parts, F.lit(2))).alias("end_day"))
 
 
+# How a text names its day of effect.
+_DAY_AFTER = r"시행(?:예정)?일\s*[:：]?\s*(20\d{2}[./-]\d{1,2}[./-]\d{1,2})"
+_DAY_BEFORE = r"(20\d{2}[./-]\d{1,2}[./-]\d{1,2})\s*시행"
+
+
 def effective_day(text: Column) -> Column:
     """The day a text names as its day of effect: after the words for it, else before the verb."""
     t = collapse(text)
-    after = F.regexp_extract(t, r"시행(?:예정)?일\s*[:：]?\s*(20\d{2}[./-]\d{1,2}[./-]\d{1,2})", 1)
-    before = F.regexp_extract(t, r"(20\d{2}[./-]\d{1,2}[./-]\d{1,2})\s*시행", 1)
+    after = F.regexp_extract(t, _DAY_AFTER, 1)
+    before = F.regexp_extract(t, _DAY_BEFORE, 1)
     return padded_day(F.coalesce(F.nullif(after, F.lit("")), F.nullif(before, F.lit(""))))
 
 
@@ -124,9 +129,18 @@ def url_parameter(url: Column, name: str) -> Column:
     return F.nullif(F.regexp_extract(url, rf"[?&]{name}=([^&#]*)", 1), F.lit(""))
 
 
+# How keys and tokens stand in messages.
+_SECRETS = (
+    (r"(?i)([?&]key=)[^&\s]+", "$1***"),
+    (r"(?i)(X-goog-api-key[:=]\s*)[^\s,]+", "$1***"),
+    (r"(?i)(Authorization[:=]\s*Bearer\s+)[^\s,]+", "$1***"),
+    (r"AIza[0-9A-Za-z\-_]{20,}", "***"),
+)
+
+
 def mask_secrets(c: Column) -> Column:
     """Keys and tokens in messages replaced by asterisks."""
-    for pattern, by in ((r"(key=)[^&\s]+", "$1***"), (r"(?i)(x-goog-api-key:\s*)\S+", "$1***"), (r"(?i)(bearer\s+)[A-Za-z0-9._\-]+", "$1***"), (r"AIza[0-9A-Za-z_\-]+", "***")):
+    for pattern, by in _SECRETS:
         c = F.regexp_replace(c, pattern, by)
     return c
 

@@ -18,11 +18,40 @@ def evidence_rows(articles: DataFrame, attachments: DataFrame, documents: DataFr
     return a.join(t, "article_id", "left").join(d, "document_id", "left").join(e, "document_id", "left")
 
 
+def evidence_title(file_name: Column, attachment_id: Column) -> Column:
+    """The title by which an article's attachments are told apart: the file's name, an attachment without one its own id;
+    empty for the body of an article without attachments."""
+    named = F.nullif(text.attachment_title(file_name, F.lit(None).cast("string")), F.lit(""))
+    return F.when(attachment_id.isNull(), "").otherwise(F.coalesce(named, F.concat(F.lit("att_"), attachment_id.cast("string"))))
+
+
+def _best_of_title(rows: DataFrame, formats: tuple[str, ...]) -> DataFrame:
+    """The last row of each article and title by an aggregation, which keeps partial results before its shuffle."""
+    late = lambda c: F.coalesce(F.col(c), F.lit((1 << 63) - 1))
+    order = F.struct(dims.format_rank(F.col("file_ext"), formats), late("attachment_id"), late("extraction_id"))
+    rest = [c for c in rows.columns if c not in ("article_id", "title_key")]
+    best = rows.groupBy("article_id", "title_key").agg(F.min_by(F.struct(*rest), order).alias("_v"))
+    return best.select("article_id", *[F.col(f"_v.{c}").alias(c) for c in rest], "title_key")
+
+
 def choose_by_title(rows: DataFrame, formats: tuple[str, ...] = dims.ATTACHMENT_FORMATS) -> DataFrame:
     """One row for each article and attachment title: the preferred format, then the first attachment and extraction."""
-    title = text.attachment_title(F.col("file_name"), F.col("file_url"))
-    rank = F.row_number().over(Window.partitionBy("article_id", "title_key").orderBy(dims.format_rank(F.col("file_ext"), formats), F.col("attachment_id").asc_nulls_last(), F.col("extraction_id").asc_nulls_last()))
-    return rows.withColumn("title_key", title).withColumn("_r", rank).where("_r = 1").drop("_r")
+    return _best_of_title(rows.withColumn("title_key", evidence_title(F.col("file_name"), F.col("attachment_id"))), formats).select(*rows.columns, "title_key")
+
+
+def chosen_evidence(
+    articles: DataFrame, attachments: DataFrame, documents: DataFrame, extractions: DataFrame, ok: str = "success", formats: tuple[str, ...] = dims.ATTACHMENT_FORMATS,
+) -> DataFrame:
+    """The rows ``choose_by_title`` takes of ``evidence_rows``. The choice is made on ids and names alone; bodies and texts
+    are joined to the chosen rows, so they do not pass through joins and aggregations on a document that many link."""
+    names = attachments.select(F.col("id").alias("attachment_id"), "article_id", "file_name", "file_ext", "file_url", "document_id")
+    done = extractions.where(F.lower(F.trim("status")) == ok).select(F.col("id").alias("extraction_id"), "document_id")
+    ids = articles.select(F.col("id").alias("article_id")).join(names, "article_id", "left").join(done, "document_id", "left")
+    chosen = _best_of_title(ids.withColumn("title_key", evidence_title(F.col("file_name"), F.col("attachment_id"))), formats)
+    paths = documents.select(F.col("id").alias("document_id"), "storage_path")
+    bodies = articles.select(F.col("id").alias("article_id"), "title", "published_at", "organization", "source_channel", "content_text")
+    texts = extractions.select(F.col("id").alias("extraction_id"), F.col("text_content").alias("extraction_text"))
+    return chosen.join(bodies, "article_id").join(paths, "document_id", "left").join(texts, "extraction_id", "left")
 
 
 def merged_text(body: Column, attachment: Column, limit: int, marker: str = "[첨부문서]") -> Column:

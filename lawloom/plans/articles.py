@@ -179,9 +179,10 @@ def article_reports(spark, root) -> DataFrame:
     return last.join(s.groupBy("report_output_id").agg(F.count("*").alias("sources")), "report_output_id").select("article_id", F.col("report_output_id").alias("output_id"), "title", "sources")
 
 
+_EVIDENCE_TITLE = f"CASE WHEN t.id IS NULL THEN '' ELSE coalesce(nullif({q.attachment_title('t.file_name', 'NULL')}, ''), 'att_' || t.id) END"
 _EVIDENCE = f"""
 WITH r AS (
-  SELECT a.id AS article_id, a.published_at, a.content_text, t.id AS attachment_id, t.file_ext, t.document_id, {q.attachment_title("t.file_name", "t.file_url")} AS title_key, e.id AS extraction_id, e.text_content
+  SELECT a.id AS article_id, a.published_at, a.content_text, t.id AS attachment_id, t.file_ext, t.document_id, {_EVIDENCE_TITLE} AS title_key, e.id AS extraction_id, e.text_content
   FROM articles a LEFT JOIN attachments t ON t.article_id = a.id LEFT JOIN attachment_documents d ON d.id = t.document_id
   LEFT JOIN attachment_extractions e ON e.document_id = d.id AND lower(trim(e.status)) = 'completed'),
 c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY article_id, title_key ORDER BY {q.format_rank("file_ext")}, attachment_id NULLS LAST, extraction_id NULLS LAST) = 1)
@@ -190,22 +191,21 @@ c AS (SELECT * FROM r QUALIFY row_number() OVER (PARTITION BY article_id, title_
 
 @query(_EVIDENCE + "SELECT article_id, title_key, attachment_id, document_id, extraction_id, length(text_content) AS chars FROM c")
 def evidence_choice(spark, root) -> DataFrame:
-    chosen = evidence.choose_by_title(_evidence(spark, root))
-    return chosen.select("article_id", "title_key", "attachment_id", "document_id", "extraction_id", F.length("extraction_text").cast("bigint").alias("chars"))
+    return _evidence(spark, root).select("article_id", "title_key", "attachment_id", "document_id", "extraction_id", F.length("extraction_text").cast("bigint").alias("chars"))
 
 
 @query(_EVIDENCE + f"SELECT row_number() OVER (ORDER BY {q.day('published_at')} DESC NULLS LAST, article_id DESC, attachment_id NULLS FIRST) AS source_index, article_id, attachment_id FROM c")
 def evidence_index(spark, root) -> DataFrame:
-    return evidence.numbered(evidence.choose_by_title(_evidence(spark, root)).select("article_id", "attachment_id", "published_at")).select("source_index", "article_id", "attachment_id")
+    return evidence.numbered(_evidence(spark, root).select("article_id", "attachment_id", "published_at")).select("source_index", "article_id", "attachment_id")
 
 
 @query()
 def evidence_texts(spark, root) -> DataFrame:
     """The JSON lines of the evidence with body and attachment text, each cut to 3000 characters (the feature)."""
-    rows = evidence.choose_by_title(_evidence(spark, root)).withColumn("text", evidence.merged_text(F.col("content_text"), F.col("extraction_text"), 3000))
+    rows = _evidence(spark, root).withColumn("text", evidence.merged_text(F.col("content_text"), F.col("extraction_text"), 3000))
     return evidence.payload(rows, ["article_id", "attachment_id", "title", "published_at", "text"])
 
 
 def _evidence(spark, root) -> DataFrame:
     names = ("articles", "attachments", "attachment_documents", "attachment_extractions")
-    return evidence.evidence_rows(*[table(spark, root, n) for n in names], ok="completed")
+    return evidence.chosen_evidence(*[table(spark, root, n) for n in names], ok="completed")

@@ -93,7 +93,16 @@ def law_references(spark, root) -> DataFrame:
     return table(spark, root, "articles").select("id", legal.article_reference(F.col("content_text")).alias("article_number"), quoted.cast("bigint").alias("quoted"))
 
 
-@query()
+_ENDS = "(?:법|령|규칙|규정|고시|조례)"
+_NAMES = (
+    f"list_filter(list_transform(list_concat(regexp_extract_all(coalesce(content_text, ''), '[「『｢]([^」』｣]{{2,80}}{_ENDS})[^」』｣]*[」』｣]', 1), "
+    f"regexp_extract_all(coalesce(content_text, ''), '([가-힣A-Za-z0-9ㆍ·\\s]{{2,80}}{_ENDS})\\s*제\\d+조', 1)), lambda n: {q.ws('n')}), lambda n: length(n) >= 2)"
+)
+
+
+@query(f"""
+SELECT id, list_slice(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), 1, 12) AS laws FROM (SELECT id, {_NAMES} AS l FROM articles)
+""")
 def law_mentions(spark, root) -> DataFrame:
     return table(spark, root, "articles").select("id", legal.law_mentions(F.col("content_text")).alias("laws"))
 
@@ -116,7 +125,8 @@ def title_tokens(spark, root) -> DataFrame:
 
 
 @query("""
-SELECT id, regexp_replace(regexp_replace(regexp_replace(last_error, '(key=)[^&\\s]+', '\\1***', 'g'), '(?i)(bearer\\s+)[A-Za-z0-9._\\-]+', '\\1***', 'g'), 'AIza[0-9A-Za-z_\\-]+', '***', 'g') AS message FROM attachments WHERE last_error IS NOT NULL
+SELECT id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(last_error, '([?&]key=)[^&\\s]+', '\\1***', 'gi'), '(X-goog-api-key[:=]\\s*)[^\\s,]+', '\\1***', 'gi'), '(Authorization[:=]\\s*Bearer\\s+)[^\\s,]+', '\\1***', 'gi'), 'AIza[0-9A-Za-z\\-_]{20,}', '***', 'g') AS message
+FROM attachments WHERE last_error IS NOT NULL
 """)
 def masked_errors(spark, root) -> DataFrame:
     return table(spark, root, "attachments").where("last_error is not null").select("id", text.mask_secrets(F.col("last_error")).alias("message"))

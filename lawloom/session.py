@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -45,17 +46,31 @@ def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends at files that survive lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lawloom-{label}-{uuid.uuid4().hex}"
+    written(path)
     df.write.parquet(path)
-    _WRITTEN.append(path)
     return spark.read.parquet(path)
 
 
-#: Tables that ``materialize`` wrote and nothing has released yet.
+#: Tables and folders of streams that nothing has released yet.
 _WRITTEN: list[str] = []
 
 
+def written(*paths: str) -> None:
+    """Note paths for ``release``."""
+    _WRITTEN.extend(paths)
+
+
+@contextlib.contextmanager
+def released(spark: SparkSession):
+    """Around a query whose result is stored inside the block: what it wrote on its way is deleted at the end."""
+    try:
+        yield spark
+    finally:
+        release(spark)
+
+
 def release(spark: SparkSession) -> int:
-    """Delete the tables ``materialize`` has written so far and return their number. Frames built on them cannot be read
+    """Delete the tables and folders of streams written so far and return their number. Frames built on them cannot be read
     afterwards, so call it when their results are stored."""
     jvm = spark._jvm
     done = 0

@@ -9,18 +9,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lawloom.operators import merge
-from lawloom.session import shared_dir
+from lawloom.session import shared_dir, written
 
 
 def read_changes(spark: SparkSession, path: str) -> DataFrame:
     """A stream over the Parquet file or directory ``path``; directories are taken one file a batch."""
     schema = spark.read.parquet(path).schema
     folder, name = path.rstrip("/").rsplit("/", 1)
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*" if "." in name else path)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "*.parquet").parquet(f"{folder}/{name}*" if name.endswith(".parquet") else path)
 
 
 def _folder(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/lawloom-{label}-{uuid.uuid4().hex}"
+    """A new folder in the shared folder; ``release`` deletes it and its checkpoint."""
+    path = f"{shared_dir(spark).rstrip('/')}/lawloom-{label}-{uuid.uuid4().hex}"
+    written(path, f"{path}-checkpoint")
+    return path
 
 
 def upsert_stream(changes: DataFrame, target: str, keys: list[str], order: list[str], at: str, value: str) -> None:
@@ -42,9 +45,11 @@ def upsert_stream(changes: DataFrame, target: str, keys: list[str], order: list[
         raise RuntimeError("the stream wrote no version")
 
 
-def upserted(spark: SparkSession, path: str) -> DataFrame:
-    target = _folder(spark, "upsert")
-    upsert_stream(read_changes(spark, path), target, ["user_id", "event_type"], ["ts", "event_id"], "ts", "value")
+def upserted(spark: SparkSession, path: str, files: int = 3) -> DataFrame:
+    """The state after a change log that lands in ``files`` files, so in as many micro-batches."""
+    target, landed = _folder(spark, "upsert"), _folder(spark, "landed")
+    spark.read.parquet(path).repartitionByRange(files, "ts").write.parquet(landed)
+    upsert_stream(read_changes(spark, landed), target, ["user_id", "event_type"], ["ts", "event_id"], "ts", "value")
     versions = spark.read.parquet(target)
     last = versions.agg(F.max("version")).first()[0]
     return versions.where(F.col("version") == last).select("user_id", "event_type", F.col("last_value.value").alias("last_value"), "first_seen", "last_seen", "seen")

@@ -16,7 +16,7 @@ CASES = [
     (text.published_day, "2026.03.04 12:34", "2026-03-04"), (text.extension, "A.B.HWPX", "hwpx"), (text.extension, "noext", None), (text.name_in_url, "https://a.example/x/y.pdf?z=1", "y.pdf"),
     (text.name_in_url, "https://a.example/", "unknown_file"), (text.collapse, " a  　b\n", "a b"), (text.without_spaces, None, ""), (text.content_hash, "", None), (text.token_estimate, "", 1), (text.token_estimate, "x" * 10, 3),
     (text.rule_name, "/a/DRM_여신 규정 원문-원본.hwp", "여신 규정"), (text.rule_name, "여신(수정본).pdf", "여신"), (legal.article_reference, "법 제 12 조의 3", "제12조의3"), (legal.article_reference, "없음", None),
-    (text.mask_secrets, "key=abc&x bearer tok.en", "key=***&x bearer ***"), (text.clean_lines, "a\r\n\n\n\nb\t c ", "a\n\nb c"), (text.retrieval_tokens, "K-ICS/x 2024 a_b. 가", ["k-ics/x", "a_b"]),
+    (text.mask_secrets, "?KEY=abc&x Authorization: bearer tok.en X-Goog-Api-Key=q1, z", "?KEY=***&x Authorization: bearer *** X-Goog-Api-Key=***, z"), (text.clean_lines, "a\r\n\n\n\nb\t c ", "a\n\nb c"), (text.retrieval_tokens, "K-ICS/x 2024 a_b. 가", ["k-ics/x", "a_b"]),
     (text.keyword_tokens, "금융위원회에서는 AML을 보고", ["금융위원회", "AML", "보고"]), (text.title_tokens, "보도자료 AAA aaa 관련", ["aaa"]), (text.retrieval_tokens, None, []),
     (lambda c: text.period_label(c, "week"), "2024-01-03", "2024-01-01"), (lambda c: text.period_label(c, "week"), "bad", "bad"), (lambda c: text.period_label(c, "month"), None, "미상"),
     (lambda c: text.shorten(c, 5), "abcdefgh", "abcd…"), (lambda c: text.file_kind(c, F.lit("https://x.example/a"), F.lit("application/pdf")), "noext", "pdf"), (legal.law_mentions, "「여신법」 여신법 제3조", ["여신법"]),
