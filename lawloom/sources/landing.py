@@ -96,16 +96,21 @@ def news_feed(spark: SparkSession, path: str, system: str = "overseas_news_api",
     names = set(rows.columns)
     get = {k: first_given(names, tuple(v.split())) for k, v in _NEWS_FIELDS.items()}
     title = get["title"]
+    told = F.lit(None).cast("string")
+    if "highlight" in names and rows.schema["highlight"].dataType.typeName() == "struct":  # marked places where there is no text
+        inner = set(rows.schema["highlight"].dataType.names)
+        part = lambda *keys: F.coalesce(*[F.nullif(F.col(f"highlight.{k}").cast("string"), F.lit("")) for k in keys if k in inner], F.lit(None).cast("string"))
+        told = F.nullif(F.concat_ws(" ", part("title"), part("content", "body")), F.lit(""))
     return as_record(rows, get | {
         "source_system": F.lit(system), "source_channel": F.lit(channel or system), "source_item_id": F.coalesce(get["source_item_id"], title), "published_at": text.feed_datetime(get["published_at"]),
-        "content_text": F.coalesce(get["content_text"], html_text(get["content_html"])), "organization": F.coalesce(get["organization"], F.lit(system)), "attachments": F.array().cast(f"array<{FILE}>"),
+        "content_text": F.coalesce(get["content_text"], told, html_text(get["content_html"])), "organization": F.coalesce(get["organization"], F.lit(system)), "attachments": F.array().cast(f"array<{FILE}>"),
         "raw": F.from_json(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(names)])), "map<string,string>"),
     })
 
 
 @dataclass
 class Board:
-    """How a site's landed pages map to records. ``columns``: record field to header (HTML) or key (JSON) of the list;
+    """How the landed pages of any other board map to records (``boards`` knows the supervised sites). ``columns``: record field to header (HTML) or key (JSON) of the list;
     ``detail``: record field to label on the detail page; ``id_pattern``: the item id within the link."""
 
     system: str
@@ -118,27 +123,6 @@ class Board:
     link: str = ""
 
 
-# The sites' boards: list and detail layouts of the landed pages.
-BOARDS: dict[str, Board] = {
-    "fss_press_release": Board("fss_scrape", "fss_press_release", "https://board.example/fss/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {"department": "담당부서"}, r"nttId=(\d+)"),
-    "fss_press_explainer": Board("fss_scrape", "fss_press_explainer", "https://board.example/fss/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {"department": "담당부서"}, r"nttId=(\d+)"),
-    "fsc_press_explainer": Board("fsc_scrape", "fsc_press_explainer", "https://board.example/fsc/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {"department": "담당부서"}, r"/(\d+)"),
-    "fsc_rule_change_notice": Board("fsc_scrape", "fsc_rule_change_notice", "https://board.example/fsc/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {"effective_date": "시행일"}, r"/(\d+)"),
-    "fsc_admin_guidance_notice": Board("fsc_admin_scrape", "fsc_admin_guidance_notice", columns={"source_item_id": "id", "title": "title", "published_at": "regDate", "effective_date": "enfcDate"}),
-    "fss_admin_guidance_notice": Board("fss_admin_scrape", "fss_admin_guidance_notice", "https://board.example/fss/", {"title": "제목", "published_at": "예고기간"}, {"effective_date": "시행일"}, r"seqno=(\d+)"),
-    "fsc_law_interpretation": Board("fsc_reply_scrape", "fsc_law_interpretation", columns={"source_item_id": "idx", "title": "title", "published_at": "replyDate"}),
-    "ksd_press_release": Board("ksd_scrape", "ksd_press_release", columns={"source_item_id": "nttId", "title": "nttSj", "published_at": "regDate", "content_html": "nttCn"}, items="list"),
-    "ksd_rule_change_notice": Board("ksd_scrape", "ksd_rule_change_notice", columns={"source_item_id": "nttId", "title": "nttSj", "published_at": "regDate", "content_html": "nttCn"}, items="list"),
-    "kfb_publicdata_other": Board("kfb_scrape", "kfb_publicdata_other", "https://board.example/kfb/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {}, r"readRun\((\d+)\)"),
-    "fsec_bbs_222": Board("fsec_scrape", "fsec_bbs_222", columns={"source_item_id": "bbsNo", "title": "title", "published_at": "regDt"}),
-    "bok_press_release": Board("bok_scrape", "bok_press_release", "https://board.example/bok/", {"title": "제목", "department": "담당부서", "published_at": "등록일"}, {}, r"nttId=(\d+)"),
-    "krx_recent_rule_change": Board("krx_scrape", "krx_recent_rule_change", columns={"source_item_id": "lawId", "title": "lawNm", "effective_date": "enfcDd", "amendment_type": "revGubun"}),
-    "krx_rule_change_notice": Board("krx_scrape", "krx_rule_change_notice", columns={"source_item_id": "bbsId", "title": "title", "published_at": "regDt"}),
-    "kofia_rule_change_notice": Board("kofia_notice_scrape", "kofia_rule_change_notice", "https://board.example/kofia/", {"title": "제목", "published_at": "공고일"}, {"effective_date": "시행일"}, r"(\d+)(?!.*\d)"),
-    "kofia_recent_rule_change": Board("kofia_notice_scrape", "kofia_recent_rule_change", "https://board.example/kofia/", {"title": "규정명", "effective_date": "시행일"}, {}, r"(\d+)(?!.*\d)"),
-}
-
-
 def _finish(rows: DataFrame, board: Board, get: dict[str, Column]) -> DataFrame:
     org = dims.canonical_organization(F.lit(board.channel), get.get("organization", F.lit(None).cast("string")))
     title = text.collapse(get["title"])

@@ -48,7 +48,7 @@ def test_news_feed(spark, tmp_path):
 
 def test_json_board(spark, tmp_path):
     (tmp_path / "k.json").write_text(json.dumps({"list": [{"nttId": 5, "nttSj": "규정 개정", "regDate": "20260304", "nttCn": "<p>시행일: 2026.4.1</p>"}]}))
-    r = landing.json_boards(spark, str(tmp_path), landing.BOARDS["ksd_rule_change_notice"]).first()
+    r = landing.json_boards(spark, str(tmp_path), landing.Board("ksd_scrape", "ksd_rule_change_notice", columns={"source_item_id": "nttId", "title": "nttSj", "published_at": "regDate", "content_html": "nttCn"}, items="list")).first()
     assert (r.source_item_id, r.published_at, r.effective_date, r.amendment_type, r.organization) == ("5", "2026-03-04", "2026-04-01", "개정", "한국예탁결제원")
 
 
