@@ -32,11 +32,15 @@ def _dictionaries(spark) -> dict[str, DataFrame]:
     return {"stopwords": spark.createDataFrame([(w,) for w in _STOP], "word string"), "synonyms": spark.createDataFrame(_SYN, "canonical string, synonym string")}
 
 
-def _words(spark, root, tokens, target="title", keep=()):
+def _articles(spark, root, keep=()) -> DataFrame:
     a = spread(table(spark, root, "articles").select("id", "title", "content_text", "published_at"))
     for name, column in keep:
         a = a.withColumn(name, column)
-    return K.words_of(a, tokens(K.target_text(target)), **_dictionaries(spark), keep=tuple(n for n, _ in keep))
+    return a
+
+
+def _counts(spark, root, tokens, target="title", keep=()) -> DataFrame:
+    return K.count_words(_articles(spark, root, keep), tokens(K.target_text(target)), **_dictionaries(spark), by=tuple(n for n, _ in keep))
 
 
 _TFIDF = """
@@ -47,13 +51,13 @@ SELECT word, CAST(sum(c) AS BIGINT) AS tf, count(*) AS df, CAST(round_even(CAST(
 
 @query(_TFIDF.format(dict=_DICTIONARIES, words=_words_sql(_KEYWORDS.format(_TITLE))))
 def keyword_scores_titles(spark, root) -> DataFrame:
-    return K.tfidf(_words(spark, root, text.keyword_tokens), table(spark, root, "articles").count())
+    return K.tfidf(_counts(spark, root, text.keyword_tokens), table(spark, root, "articles").count())
 
 
 @query(_TFIDF.format(dict=_DICTIONARIES, words=_words_sql(_KEYWORDS.format(_BOTH))) + " ORDER BY score DESC, word LIMIT 50")
 def keyword_top_content(spark, root) -> DataFrame:
     n = table(spark, root, "articles").count()
-    return K.tfidf(_words(spark, root, text.keyword_tokens, "both"), n).orderBy(F.desc("score"), "word").limit(50)
+    return K.tfidf(_counts(spark, root, text.keyword_tokens, "both"), n).orderBy(F.desc("score"), "word").limit(50)
 
 
 _COOC = f"""
@@ -64,12 +68,12 @@ top AS (SELECT word, count(*) AS freq FROM d GROUP BY 1 ORDER BY freq DESC, word
 
 @query(_COOC + "SELECT word, freq FROM top")
 def cooccurrence_nodes(spark, root) -> DataFrame:
-    return K.cooccurrence(_words(spark, root, text.pair_tokens, "both"))[0]
+    return K.document_network(_articles(spark, root), text.pair_tokens(K.target_text("both")), **_dictionaries(spark))[0]
 
 
 @query(_COOC + "SELECT a.word AS source, b.word AS target, count(*) AS weight FROM k a JOIN k b ON a.id = b.id AND a.word < b.word GROUP BY 1, 2 HAVING count(*) >= 2")
 def cooccurrence_edges(spark, root) -> DataFrame:
-    return K.cooccurrence(_words(spark, root, text.pair_tokens, "both"))[1]
+    return K.document_network(_articles(spark, root), text.pair_tokens(K.target_text("both")), **_dictionaries(spark))[1]
 
 
 def _trend_sql(label: str) -> str:
@@ -88,8 +92,8 @@ _WEEK = f"CASE WHEN coalesce(published_at, '') = '' THEN '미상' ELSE coalesce(
 
 def _trend(spark, root, granularity: str) -> DataFrame:
     label = text.period_label(F.col("published_at"), granularity)
-    w = _words(spark, root, text.keyword_tokens, keep=(("period", label),))
-    return K.trend(w, "period", periods=table(spark, root, "articles").select(label.alias("period")))
+    counts = _counts(spark, root, text.keyword_tokens, keep=(("period", label),))
+    return K.trend(counts, "period", periods=table(spark, root, "articles").select(label.alias("period")))
 
 
 @query(_trend_sql(_MONTH))
@@ -118,3 +122,11 @@ SELECT doc_id, term, weight, row_number() OVER (PARTITION BY doc_id ORDER BY wei
 """)
 def query_terms(spark, root) -> DataFrame:
     return K.weighted_terms(table(spark, root, "articles"))
+
+
+_RULE_WORDS = f"list_filter(list_transform(regexp_extract_all({{0}}, '[가-힣A-Za-z0-9][가-힣A-Za-z0-9·ㆍ\\-/]+'), lambda t: lower(regexp_replace(t, '^[\\-/]+|[\\-/]+$', '', 'g'))), lambda t: length(t) >= 2 AND t NOT IN {q.words(dims.RULE_STOPWORDS)} AND NOT regexp_full_match(t, '[0-9]+'))"
+
+
+@query(f"SELECT term, count(*) AS count FROM (SELECT unnest({_RULE_WORDS.format(_BOTH)}) AS term FROM articles) GROUP BY 1 ORDER BY count DESC, term LIMIT 80")
+def top_terms(spark, root) -> DataFrame:
+    return K.top_terms(_articles(spark, root), text.rule_tokens(K.target_text("both")))

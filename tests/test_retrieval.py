@@ -206,3 +206,16 @@ def test_dense_search_in_blocks_of_queries(spark):
     whole = {tuple(r) for r in retrieval.dense_search(asked, v, 5).collect()}
     assert {tuple(r) for r in retrieval.dense_search(asked, v, 5, block=4).collect()} == whole and len(whole) > 50
     assert retrieval.dense_search(asked.where("false"), v, 5).count() == 0
+
+
+def test_counts_of_words_are_the_same_by_either_way(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 6)), "p" if i % 2 else None) for i in range(30)] + [(90, "", "p"), (91, None, "p")]
+    df = spark.createDataFrame(docs, "id bigint, title string, part string")
+    stop, syn = spark.createDataFrame([("w3",)], "word string"), spark.createDataFrame([("w1", "w2"), ("w9", None)], "canonical string, synonym string")
+    rows = lambda d: sorted(tuple(r) for r in d.select("word", "tf", "df").collect())
+    network = lambda: [sorted(tuple(r) for r in d.collect()) for d in keywords.document_network(df.where("title is not null"), F.split("title", " "), 4, 1, stop, syn)]
+    sent, graph = rows(keywords.count_words(df, F.split("title", " "), stop, syn, ("part",))), network()
+    words = keywords.words_of(df.where("title is not null"), F.split("title", " "), stop, syn)
+    assert graph == [sorted(tuple(r) for r in d.collect()) for d in keywords.cooccurrence(words, 4, 1)]
+    monkeypatch.setattr(keywords, "_SMALL_DICTIONARY", 0)
+    assert rows(keywords.count_words(df, F.split("title", " "), stop, syn, ("part",))) == sent and not any(w in ("w2", "w3") for w, _, _ in sent)
