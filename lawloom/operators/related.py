@@ -146,3 +146,27 @@ def rule_scores(guidance_terms: list[str], rules: DataFrame, hits: DataFrame) ->
     out = r.join(best.select("rule_id", "score"), "rule_id")
     score = F.col("score") * 650 + 3 * F.size("shared") + 6 * F.size("inside")
     return out.select("rule_id", "rule_name", F.round(score, 4).alias("match_score"), F.slice(F.array_sort(F.array_union("shared", "inside")), 1, 30).alias("match_terms")).orderBy(F.desc("match_score"), "rule_name")
+
+
+def rule_impact(guidance_terms: list[str], rules: DataFrame, hits: DataFrame, most: int | None = None, rule_terms: int = 50) -> DataFrame:
+    """rule_id, match_score, best first (``most`` of them): ``rule_scores`` of rules (rule_id, rule_name, tokens) by their most
+    frequent ``rule_terms`` tokens and hits (rule_id, rank), whose fused score is one over 60 plus the rank. A rule with
+    several hits keeps its best."""
+    counted = rules.join(hits.select("rule_id").distinct(), "rule_id", "left_semi").select("rule_id", "rule_name", F.explode("tokens").alias("term")).groupBy("rule_id", "rule_name", "term").count()
+    place = F.row_number().over(Window.partitionBy("rule_id", "rule_name").orderBy(F.desc("count"), "term"))
+    terms = counted.withColumn("_p", place).where(F.col("_p") <= rule_terms).groupBy("rule_id", "rule_name").agg(F.collect_set("term").alias("terms"))
+    scored = rule_scores(guidance_terms, terms, hits.select("rule_id", (1 / (60 + F.col("rank"))).alias("score"), "rank"))
+    out = scored.select("rule_id", "match_score").orderBy(F.desc("match_score"), "rule_id")
+    return out.limit(most) if most is not None else out
+
+
+def sectioned_text(title: Column, attachments: Column, body: Column, most: int = 3, attachment_limit: int = 1800, body_limit: int = 2200) -> Column:
+    """A document's text in sections: its title, its first ``most`` attachments (an array of struct file_name, text_content)
+    and its body, the texts collapsed and shortened to their limits; sections without text are left out."""
+    first = F.slice(F.coalesce(attachments, F.array().cast("array<struct<file_name:string,text_content:string>>")), 1, most)
+    given = F.filter(first, lambda a: text.collapse(F.coalesce(a["text_content"], F.lit(""))) != "")
+    name = lambda a: F.coalesce(F.nullif(a["file_name"], F.lit("")), F.lit("file"))
+    files = F.array_join(F.transform(given, lambda a: F.concat(F.lit("[ATTACHMENT:"), name(a), F.lit("]\n"), text.shorten(a["text_content"], attachment_limit))), "\n\n")
+    short = text.shorten(body, body_limit)
+    parts = [F.when(F.coalesce(title, F.lit("")) != "", F.concat(F.lit("[TITLE]\n"), title)), F.nullif(files, F.lit("")), F.when(short != "", F.concat(F.lit("[BODY]\n"), short))]
+    return F.trim(F.concat_ws("\n\n", *parts))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +79,67 @@ def text_match(articles: DataFrame, query: str) -> DataFrame:
     return articles.where(hit | F.coalesce(squashed, F.lit(False)))
 
 
+@dataclass(frozen=True)
+class Phrase:
+    """Words one after the other in a field; the last by its beginning if ``prefix``."""
+
+    words: tuple[str, ...]
+    prefix: bool = False
+
+
+@dataclass(frozen=True)
+class All:
+    """Every one of these in a document, in whatever field."""
+
+    parts: tuple[Phrase | All | AnyOf, ...]
+
+
+@dataclass(frozen=True)
+class AnyOf:
+    parts: tuple[Phrase | All | AnyOf, ...]
+
+
+def typed_query(query: str) -> AnyOf | None:
+    """What a typed query asks of the index: the words as a phrase (a single word by its beginning), as one joined word, or
+    all of them; None without a word."""
+    words = tuple(w.lower() for w in "".join(ch if ch.isalnum() or ch == "_" else " " for ch in query).split())
+    if not words:
+        return None
+    if len(words) == 1:
+        return AnyOf((Phrase(words, prefix=True),))
+    return AnyOf((Phrase(words), Phrase(("".join(words),)), All(tuple(Phrase((w,)) for w in words))))
+
+
+def index_match(index: DataFrame, query: Phrase | All | AnyOf) -> DataFrame:
+    """doc_id of the documents that match, from ``postings`` alone. Only the postings of the query's terms are read and
+    shuffled; a phrase is counted by its start, so the index is not joined with itself."""
+    if isinstance(query, AnyOf):
+        return functools.reduce(DataFrame.unionByName, [index_match(index, p) for p in query.parts]).distinct()
+    if isinstance(query, All):
+        marked = [index_match(index, p).withColumn("part", F.lit(i)) for i, p in enumerate(query.parts)]
+        every = functools.reduce(DataFrame.unionByName, marked).groupBy("doc_id").agg(F.count_distinct("part").alias("n"))
+        return every.where(F.col("n") == len(query.parts)).select("doc_id")
+    last = len(query.words) - 1
+    is_word = [F.col("term").startswith(w) if query.prefix and i == last else F.col("term") == w for i, w in enumerate(query.words)]
+    hits = index.where(functools.reduce(lambda a, b: a | b, is_word))
+    if last == 0:
+        return hits.select("doc_id").distinct()
+    places = F.array_compact(F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(is_word)]))  # a word may stand twice in the phrase
+    starts = hits.select("doc_id", "field", "position", F.explode(places).alias("place")).groupBy("doc_id", "field", (F.col("position") - F.col("place")).alias("start"))
+    return starts.agg(F.count_distinct("place").alias("n")).where(F.col("n") == last + 1).select("doc_id").distinct()
+
+
+def indexed_match(articles: DataFrame, index: DataFrame, query: str) -> DataFrame:
+    """The articles of ``text_match`` by the index: a semi-join on what the postings give, and the titles that hold the
+    joined query when blanks are ignored."""
+    asked = typed_query(query)
+    if asked is None:
+        return articles
+    joined = "".join(w for w in "".join(ch if ch.isalnum() or ch == "_" else " " for ch in query).split()).lower()
+    squashed = articles.where(F.lower(F.regexp_replace("title", " ", "")).contains(joined)).select(F.col("id").alias("doc_id"))
+    return articles.join(index_match(index, asked).unionByName(squashed).distinct(), articles["id"] == F.col("doc_id"), "left_semi")
+
+
 def with_attachment_count(articles: DataFrame, attachments: DataFrame) -> DataFrame:
     """Adds attachment_count, 0 for none. The counts are aggregated before the join, so a hot article costs nothing."""
     counts = attachments.where("article_id is not null").groupBy(F.col("article_id").alias("id")).agg(F.count("*").alias("attachment_count"))
@@ -128,3 +192,15 @@ def suggestions(articles: DataFrame, typed: str, limit: int = 8) -> DataFrame:
     for w in words:
         hits = hits.where(F.lower("title").rlike(rf"(?<![\p{{L}}\p{{N}}]){w}"))
     return hits.groupBy("title").agg(F.max("published_at").alias("published_at")).orderBy(F.desc("published_at"), "title").limit(limit)
+
+
+# Fields of the landed item that an article's detail shows.
+_DETAIL = (
+    "notice_start notice_end final_extension_date validity_period enforcement_status processing_status public_yn registrant reply_date query_summary "
+    "reply_text reason_text case_number"
+).split()
+
+
+def detail_fields(articles: DataFrame) -> DataFrame:
+    """Articles with the fields of their landed item (``raw_json``); what is missing, or no JSON, gives nulls."""
+    return articles.select("*", *[F.get_json_object("raw_json", f"$.{n}").alias(n) for n in _DETAIL])

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lawloom.functions import dims
+from lawloom.functions import dims, text
 from lawloom.operators import evidence, search
 from lawloom.plans import fragments as q
 from lawloom.plans.catalog import query
-from lawloom.session import table
+from lawloom.session import materialize, table
+from lawloom.sources.boards import SITES, board_records
 
 _PRESS = q.words(dims.channels_of("press_release"))
 
@@ -48,6 +49,16 @@ def search_words(spark, root) -> DataFrame:
     return search.text_match(table(spark, root, "articles"), "점검, 결과").select("id")
 
 
+@query(f"""
+SELECT id FROM articles WHERE contains({_T}, ' 점검 결과 ') OR contains({_B}, ' 점검 결과 ') OR contains({_T}, ' 점검결과 ') OR contains({_B}, ' 점검결과 ')
+  OR ((contains({_T}, ' 점검 ') OR contains({_B}, ' 점검 ')) AND (contains({_T}, ' 결과 ') OR contains({_B}, ' 결과 '))) OR contains(lower(replace(coalesce(title, ''), ' ', '')), '점검결과')
+""")
+def search_words_indexed(spark, root) -> DataFrame:
+    """The same search by the positional postings, which are written once and could serve many."""
+    a = table(spark, root, "articles")
+    return search.indexed_match(a, materialize(search.postings(a), "postings"), "점검, 결과").select("id")
+
+
 @query(f"SELECT id FROM articles WHERE contains({_T}, ' 자금세탁') OR contains({_B}, ' 자금세탁') OR contains(lower(replace(coalesce(title, ''), ' ', '')), '자금세탁')")
 def search_prefix(spark, root) -> DataFrame:
     return search.text_match(table(spark, root, "articles"), "자금세탁").select("id")
@@ -209,3 +220,31 @@ def evidence_texts(spark, root) -> DataFrame:
 def _evidence(spark, root) -> DataFrame:
     names = ("articles", "attachments", "attachment_documents", "attachment_extractions")
     return evidence.chosen_evidence(*[table(spark, root, n) for n in names], ok="completed")
+
+
+_NAMES = ("notice_start", "notice_end", "final_extension_date", "validity_period", "enforcement_status", "processing_status", "public_yn", "registrant", "reply_date", "query_summary", "reply_text", "reason_text", "case_number")
+
+
+@query("SELECT id, " + ", ".join(f"json_extract_string(CASE WHEN json_valid(raw_json) THEN raw_json END, '$.{n}') AS {n}" for n in _NAMES) + " FROM articles")
+def article_detail_fields(spark, root) -> DataFrame:
+    return search.detail_fields(table(spark, root, "articles").select("id", "raw_json")).drop("raw_json")
+
+
+_TITLE_LINE, _DEPARTMENT_LINE = (q.ws(f"coalesce({c}, '')") for c in ("title", "department"))
+_KEPT = "source_channel LIKE 'fss_press%' OR source_channel LIKE 'fsc_r%' OR source_channel LIKE 'krx_recent%'"
+
+
+@query(f"""
+SELECT source_channel, CAST(id AS VARCHAR) AS source_item_id, {_TITLE_LINE} AS title, nullif({_DEPARTMENT_LINE}, '') AS department
+FROM articles WHERE ({_KEPT}) AND {_TITLE_LINE} <> '' AND source_channel IN {q.words(SITES)}
+""")
+def boards_read_back(spark, root) -> DataFrame:
+    """Articles of three kinds of boards written as list pages in their sites' shapes and read back."""
+    a = table(spark, root, "articles").where(_KEPT).select(F.col("source_channel").alias("channel"), F.col("id").cast("string").alias("id"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("title", "department")])
+    safe = lambda c: F.replace(F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    table_page = F.concat(F.lit("<table><thead><tr><th>번호</th><th>제목</th><th>담당부서</th></tr></thead><tbody><tr><td>1</td><td><a href='v.do?nttId="), "id", F.lit("'>"), safe("title"), F.lit("</a></td><td>"), safe("department"), F.lit("</td></tr></tbody></table>"))
+    item_page = F.concat(F.lit("<div class='board-list-wrap'><ul><li><a href='/po040301/"), "id", F.lit("'><b class='subject'>"), safe("title"), F.lit("</b></a><p class='info'><span>담당부서 :"), safe("department"), F.lit("</span></p></li></ul></div>"))
+    json_page = F.to_json(F.struct(F.array(F.struct(F.col("id").alias("BOOKID"), F.col("title").alias("TITLE"), F.col("department").alias("DEPTNAME"))).alias("result")))
+    body = F.when(F.col("channel").startswith("fss"), table_page).when(F.col("channel").startswith("fsc"), item_page).otherwise(json_page)
+    pages = a.select("channel", F.lit("list").alias("role"), F.lit(None).cast("string").alias("key"), F.lit("https://s.example/").alias("url"), body.alias("body"))
+    return board_records(pages).select("source_channel", "source_item_id", "title", text.collapse(F.col("department")).alias("department"))

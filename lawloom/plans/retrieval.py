@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lawloom.functions import dims, text
-from lawloom.operators import related, retrieval
+from lawloom.operators import keywords, related, retrieval
 from lawloom.plans import fragments as q
 from lawloom.plans.catalog import query
-from lawloom.session import table
+from lawloom.session import spread, table
 
 _TOKENS = (
     "list_filter(list_transform(regexp_extract_all({0}, '[가-힣A-Za-z0-9][가-힣A-Za-z0-9_\\-/.]+'), lambda t: lower(regexp_replace(t, '^[._\\-/]+|[._\\-/]+$', '', 'g'))), "
@@ -186,3 +186,29 @@ def title_similarity_of_versions(spark, root) -> DataFrame:
     s = table(spark, root, "articles").where("source_item_id is not null").select("id", "source_item_id", "title")
     a, b = s.select(F.col("id").alias("id_a"), "source_item_id", F.col("title").alias("ta")), s.select(F.col("id").alias("id_b"), "source_item_id", F.col("title").alias("tb"))
     return a.join(b, "source_item_id").where("id_a < id_b").select("id_a", "id_b", related.title_similarity(F.col("ta"), F.col("tb")).alias("similarity"))
+
+
+_GUIDE = f"SELECT term FROM (SELECT unnest({{words}}) AS term FROM articles WHERE source_channel LIKE '%guidance%') GROUP BY 1 ORDER BY count(*) DESC, term LIMIT 140"
+_RULE_TOKENS = (
+    "list_filter(list_transform(regexp_extract_all({0}, '[가-힣A-Za-z0-9][가-힣A-Za-z0-9·ㆍ\\-/]+'), lambda t: lower(regexp_replace(t, '^[\\-/]+|[\\-/]+$', '', 'g'))), "
+    f"lambda t: length(t) >= 2 AND t NOT IN {q.words(dims.RULE_STOPWORDS)} AND NOT regexp_full_match(t, '[0-9]+'))"
+)
+
+
+@query(f"""
+WITH gt AS ({_GUIDE.format(words=_RULE_TOKENS.format(_DOC))}), {bm25_sql(_RULE_TOKENS.format(_DOC), "SELECT 0 AS query_id, list(term) AS tokens FROM gt", 160)},
+ru AS (SELECT id AS rule_id, title AS rule_name, {_RULE_TOKENS.format(_DOC)} AS toks FROM articles WHERE source_channel LIKE '%rule_change%' AND title IS NOT NULL),
+rt AS (SELECT rule_id, term FROM (SELECT rule_id, unnest(toks) AS term FROM ru) GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY rule_id ORDER BY count(*) DESC, term) <= 50),
+sh AS (SELECT rule_id, count(*) AS shared FROM rt JOIN gt USING (term) GROUP BY 1), ti AS (SELECT rule_id, count(*) AS inside FROM ru JOIN gt ON contains(lower(rule_name), gt.term) GROUP BY 1)
+SELECT ru.rule_id, round(650 / (60.0 + r.rank) + 3 * coalesce(sh.shared, 0) + 6 * coalesce(ti.inside, 0), 4) AS match_score
+FROM r JOIN ru ON ru.rule_id = r.doc_id LEFT JOIN sh USING (rule_id) LEFT JOIN ti USING (rule_id) ORDER BY match_score DESC, ru.rule_id LIMIT 30
+""")
+def rule_impact(spark, root) -> DataFrame:
+    """Rule notices most affected by the guidance, scored by rank, shared terms and terms in their names."""
+    a = spread(table(spark, root, "articles").select("id", "title", "content_text", "source_channel"))
+    words = text.rule_tokens(F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content_text", F.lit(""))))
+    guide = [r.term for r in keywords.top_terms(a.where("source_channel like '%guidance%'"), words, 140).collect()]  # 140 rows
+    asked = spark.createDataFrame([(0, guide)], "query_id bigint, tokens array<string>")
+    hits = retrieval.Bm25Index(a, "id", words).search(asked, 160)
+    rules = a.where("source_channel like '%rule_change%' and title is not null")
+    return related.rule_impact(guide, rules.select(F.col("id").alias("rule_id"), F.col("title").alias("rule_name"), words.alias("tokens")), hits.select(F.col("doc_id").alias("rule_id"), "rank"), 30)

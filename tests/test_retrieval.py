@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -219,3 +220,50 @@ def test_counts_of_words_are_the_same_by_either_way(spark, monkeypatch):
     assert graph == [sorted(tuple(r) for r in d.collect()) for d in keywords.cooccurrence(words, 4, 1)]
     monkeypatch.setattr(keywords, "_SMALL_DICTIONARY", 0)
     assert rows(keywords.count_words(df, F.split("title", " "), stop, syn, ("part",))) == sent and not any(w in ("w2", "w3") for w, _, _ in sent)
+
+
+def test_providers_and_appended_vectors(spark):
+    from lawloom.operators import embedding as E
+
+    assert E.RemoteAnswers(lambda t: [{"index": 1, "embedding": [0, 2]}, {"index": 0, "embedding": [3, 4]}]).embed(["a", "b"]) == [[0.6, 0.8], [0.0, 1.0]]
+    with pytest.raises(ValueError):
+        E.RemoteAnswers(lambda t: []).embed(["a"])
+    seen = []
+    E.PrefixedModel(lambda: lambda t: seen.extend(t) or [[1.0]] * len(t)).embed(["x"], query=True)
+    assert seen == ["query: x"] and E.provider_from({"dimensions": 8})().dimensions == 8
+    with pytest.raises(ValueError):
+        E.provider_from({"provider": "other"})
+    pieces = spark.createDataFrame([("a#0", "one two"), ("a#1", None), ("b#0", "three"), ("b#0", "three")], "chunk_id string, text string")
+    empty = spark.createDataFrame([], "point_id string, chunk_id string, embedding array<double>")
+    first = E.append_vectors(pieces.where("chunk_id = 'a#0'"), empty, E.provider_from({"dimensions": 8}))
+    again = E.append_vectors(pieces, first, E.provider_from({"dimensions": 8}), dimensions=8)
+    got = {r.chunk_id: r.embedding for r in again.collect()}
+    assert set(got) == {"a#0", "a#1", "b#0"} and again.count() == 3 and got["a#1"] is None and abs(sum(x * x for x in got["b#0"]) - 1) < 1e-9
+
+
+def test_phrases_in_the_index(spark):
+    rows = [(1, "a b c", "x a"), (2, "b a", "a b"), (3, "a x b", None), (4, None, "ab a a b"), (5, "A-B cd", "")]
+    articles = spark.createDataFrame(rows, "id bigint, title string, content_text string")
+    index = search.postings(articles)
+    ids = lambda q: sorted(r.doc_id for r in search.index_match(index, q).collect())
+    P, A, O = search.Phrase, search.All, search.AnyOf
+    assert ids(P(("a", "b"))) == [1, 2, 4, 5] and ids(P(("a", "a", "b"))) == [4] and ids(P(("b", "c"), True)) == [1, 5] and ids(P(("a",), True)) == [1, 2, 3, 4, 5]
+    assert ids(A((P(("x",)), P(("b",))))) == [1, 3] and ids(O((P(("ab",)), A((P(("x",)), P(("c",))))))) == [1, 4]
+    for typed in ("a b", "ab", "x", "a", "c d", "  "):
+        same = lambda d: sorted(r.id for r in d.select("id").collect())
+        assert same(search.indexed_match(articles, index, typed)) == same(search.text_match(articles, typed)), typed
+
+
+def test_sectioned_text(spark):
+    row = spark.createDataFrame([("T", [("f.pdf", " a  b "), (None, "c" * 30), ("g", " "), ("h", "never")], " body ", None)], "t string, a array<struct<file_name:string,text_content:string>>, b string, n string").select(
+        related.sectioned_text(F.col("t"), F.col("a"), F.col("b"), 3, 10).alias("x"), related.sectioned_text(F.col("n"), F.lit(None).cast("array<struct<file_name:string,text_content:string>>"), F.col("n")).alias("y")
+    ).first()
+    assert row.x == "[TITLE]\nT\n\n[ATTACHMENT:f.pdf]\na b\n\n[ATTACHMENT:file]\nccccccccc…\n\n[BODY]\nbody" and row.y == ""
+
+
+def test_rule_impact(spark):
+    rules = spark.createDataFrame([(1, "Bank rule", ["bank", "x", "x"]), (2, "Other", ["y"]), (3, "Bank", ["bank"])], "rule_id bigint, rule_name string, tokens array<string>")
+    hits = spark.createDataFrame([(1, 2), (1, 1), (2, 3)], "rule_id bigint, rank int")
+    got = [(r.rule_id, r.match_score) for r in related.rule_impact(["bank", "x"], rules, hits).collect()]
+    assert got == [(1, round(650 / 61 + 6 + 6, 4)), (2, round(650 / 63, 4))]
+    assert related.rule_impact(["bank"], rules, hits, most=1).count() == 1
