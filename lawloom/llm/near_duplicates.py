@@ -45,7 +45,7 @@ _FEW = 250_000
 _PARTS = 12
 _WHOLE = 128
 #: Sizes within a band differ by this factor at most; segments for each unit a record of the band may need.
-_RATIO = 1.25
+_RATIO = 1.4
 _SEGMENTS = 0.6
 
 
@@ -118,8 +118,7 @@ def _most(threshold: float, sizes) -> np.ndarray:
 class _Segments:
     """The segments of records for a band: contents as sums of hashes, empty ones included."""
 
-    def __init__(self, record: np.ndarray, token: np.ndarray, records: int, m: int, band: int):
-        value = _mix(token.astype(_U) + _GOLD)
+    def __init__(self, record: np.ndarray, value: np.ndarray, records: int, m: int, band: int):
         segment = ((value >> _U(40)) % _U(m)).astype(np.int64)
         self.cell = record * m + segment
         sums = np.zeros(records * m, _U)
@@ -133,9 +132,14 @@ class _Segments:
         return self._less()
 
 
-def _sketches(record: np.ndarray, token: np.ndarray, records: int, words: int) -> np.ndarray:
+def _value(token: np.ndarray) -> np.ndarray:
+    """The hash of each token that segments and sums of contents go by."""
+    return _mix(token.astype(_U) + _GOLD)
+
+
+def _sketches(record: np.ndarray, value: np.ndarray, records: int, words: int) -> np.ndarray:
     """Parity sketches: bit i tells whether an odd number of tokens fell on i."""
-    bit = _mix(token.astype(_U) + _U(77)) & _U(64 * words - 1)
+    bit = value & _U(64 * words - 1)
     out = np.zeros(records * words, _U)
     np.bitwise_xor.at(out, record * words + (bit >> _U(6)).astype(np.int64), _U(1) << (bit & _U(63)))
     return out.reshape(records, words)
@@ -149,6 +153,7 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
     start = np.concatenate([[0], np.cumsum(held)])
     owner = np.repeat(np.arange(len(size)), held)
     share = (1 - threshold) / (1 + threshold)
+    values = _value(token)
     for low, high in _bands(int(size[-1])):
         s0, s1 = np.searchsorted(size, [low, high + 1])
         l1 = int(np.searchsorted(size, int(high / threshold + 1e-9) + 1))
@@ -156,8 +161,8 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
         if not small or large < 2:
             continue
         m = max(1, int(np.ceil(_SEGMENTS * (int(_most(threshold, high)) + 1))))
-        record, tok = owner[start[s0] : start[l1]] - s0, token[start[s0] : start[l1]]
-        segments = _Segments(record, tok, large, m, high)
+        record, value = owner[start[s0] : start[l1]] - s0, values[start[s0] : start[l1]]
+        segments = _Segments(record, value, large, m, high)
         exact, less, cell = segments.contents, segments.deletions(), segments.cell
         mine = int(start[s1] - start[s0])  # tokens of the smaller records
         # lengths of lists, counted in slots: those of equal contents, and those reached by one deletion on either side
@@ -186,7 +191,7 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
         d = np.flatnonzero(asked[at_less])
         d_order, d_keys, d_first, d_count = _runs(less[d])
         words = 1 << max(2, int(np.ceil(np.log2(high / 16))))
-        sketch = _sketches(record, tok, large, min(words, 1024))
+        sketch = _sketches(record, value, large, min(words, 1024))
         if spent is not None:
             spent["one"] = spent.get("one", 0) + len(cells) - len(cells2)
             spent["two"] = spent.get("two", 0) + len(cells2)
@@ -230,14 +235,14 @@ def _divisions(size: np.ndarray, held: np.ndarray, token: np.ndarray, divisions:
     start = np.cumsum(held) - held
     flat = token[_slices(start[order], held[order])]
     size, held = size[order], held[order]
-    first, owner = np.concatenate([[0], np.cumsum(held)]), np.repeat(np.arange(len(size)), held)
+    first, owner, values = np.concatenate([[0], np.cumsum(held)]), np.repeat(np.arange(len(size)), held), _value(flat)
     got = []
     for low, high in _bands(int(size[-1]) if len(size) else 0):
         a, b = np.searchsorted(size, [low, int(high / threshold + 1e-9) + 1])
         if a == b:
             continue
         m = int(_most(threshold, high)) + 1
-        contents = _Segments(owner[first[a] : first[b]] - a, flat[first[a] : first[b]], int(b - a), m, high).contents
+        contents = _Segments(owner[first[a] : first[b]] - a, values[first[a] : first[b]], int(b - a), m, high).contents
         got.append(np.repeat(np.arange(a, b), m) * divisions + (contents % _U(divisions)).astype(np.int64))
     keys = _distinct(np.concatenate(got)) if got else np.zeros(0, np.int64)
     return order[keys // divisions], keys % divisions
