@@ -63,8 +63,8 @@ def chunks(documents: DataFrame, id_col: str, title_col: str, text_col: str, siz
 #: Distinct query terms, and pairs of query and term, up to which a search sends its queries to the documents (some tens of
 #: megabytes); beyond, documents and queries meet by a join on terms.
 _MOST_TERMS, _MOST_PAIRS = 300_000, 2_000_000
-#: Cells of a block of scores.
-_BLOCK = 4_000_000
+#: Cells of a block of scores: eight megabytes, and a few temporaries of that size in each task.
+_BLOCK = 1_000_000
 
 
 class _Best:
