@@ -20,13 +20,14 @@ Guarantee. Every pair of at least the threshold is found, whatever the texts; co
 
 Scale. Records are identified by a 64-bit hash of their text, so exact copies fold into one already in the map task; of n different
 texts two share a hash with a chance of n^2 / 2^65. What is shuffled is two bytes for each shingle and some twenty bytes for each
-record and part, packed in one blob per map batch and bucket. Where a bucket would hold more than ``records_per_bucket`` records, it is
-divided: a record then goes to each of the divisions its segments hash to, in which a similar one must meet it. No
-table, link or component is collected or broadcast.
+record and part, packed in one blob per map batch and bucket. However large a bucket is, that is shuffled once: a task keeps these bytes and makes
+hashes of a few segments at a time; where a bucket would hold more than ``records_per_bucket`` records, several tasks read
+the same shuffled bytes, each for its share of the bands of sizes. No table, link or component is collected or broadcast.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ _WHOLE = 128
 #: Sizes within a band differ by this factor at most; segments for each unit a record of the band may need.
 _RATIO = 1.4
 _SEGMENTS = 0.6
+#: Shingles whose hashes are made at a time.
+_CHUNK = 1_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -88,12 +91,12 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.zeros(0, _U)), sizes
 
 
-def _runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, distinct keys, their first places in the order, their counts)."""
-    order = np.argsort(keys, kind="stable")
-    k = keys[order]
+def _runs(keys: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(entries by key, distinct keys, their first places, their counts); both of 32 bits, sorted as one number of 64."""
+    both = np.sort((keys.astype(_U) << _U(32)) | entries.astype(_U))
+    k = (both >> _U(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
-    return order, k[first], first, np.diff(np.append(first, len(k)))
+    return both.astype(np.uint32), k[first], first, np.diff(np.append(first, len(k)))
 
 
 def _slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -115,23 +118,6 @@ def _most(threshold: float, sizes) -> np.ndarray:
     return np.floor((1 - threshold) / threshold * np.asarray(sizes) + 1e-9).astype(np.int64)
 
 
-class _Segments:
-    """The segments of records for a band: contents as sums of hashes, empty ones included."""
-
-    def __init__(self, record: np.ndarray, value: np.ndarray, records: int, m: int, band: int):
-        segment = ((value >> _U(40)) % _U(m)).astype(np.int64)
-        self.cell = record * m + segment
-        sums = np.zeros(records * m, _U)
-        np.add.at(sums, self.cell, value)
-        salt = _mix(np.arange(m).astype(_U) + _U(band * 1_000_003 + 1))
-        self.contents = _mix(sums + np.tile(salt, records))
-        self._less = lambda: _mix(sums[self.cell] - value + salt[segment])
-
-    def deletions(self) -> np.ndarray:
-        """For each token the contents of its segment without it."""
-        return self._less()
-
-
 def _value(token: np.ndarray) -> np.ndarray:
     """The hash of each token that segments and sums of contents go by."""
     return _mix(token.astype(_U) + _GOLD)
@@ -145,110 +131,154 @@ def _sketches(record: np.ndarray, value: np.ndarray, records: int, words: int) -
     return out.reshape(records, words)
 
 
-def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token: np.ndarray, threshold: float, spent: dict | None = None, chunk: int = 2_000_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+class _Band:
+    """The records of a bucket from place ``s0`` to ``l1`` cut into ``m`` segments. Nothing is kept of a shingle but its two bytes and one for
+    its segment; the contents of segments are made for some segments at a time, from chunks of records."""
+
+    def __init__(self, start: np.ndarray, token: np.ndarray, s0: int, l1: int, m: int, band: int, words: int):
+        self.start, self.token, self.m, self.records = start[s0 : l1 + 1] - start[s0], token[start[s0] : start[l1]], m, l1 - s0
+        self.salt = _mix(np.arange(m).astype(_U) + _U(band * 1_000_003 + 1))
+        cuts = np.searchsorted(self.start, np.arange(_CHUNK, len(self.token), _CHUNK))
+        self.chunks = [(int(a), int(b)) for a, b in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [self.records]])) if b > a]
+        self.segment = np.empty(len(self.token), np.uint8 if m <= 256 else np.uint32)
+        self.sketch = np.zeros((self.records, words), _U)
+        for a, b in self.chunks:
+            value = _value(self.token[self.start[a] : self.start[b]])
+            self.segment[self.start[a] : self.start[b]] = (value >> _U(40)) % _U(m)
+            self.sketch[a:b] = _sketches(self._owner(a, b), value, b - a, words)
+
+    def _owner(self, a: int, b: int) -> np.ndarray:
+        return np.repeat(np.arange(b - a), np.diff(self.start[a : b + 1]))
+
+    def contents(self, g0: int, g1: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of segments ``g0`` to ``g1``: 32 bits of the contents of each cell (record and segment), empty ones included; and for each
+        shingle there its record, its cell and the contents of the cell without it."""
+        k, all_of_them = g1 - g0, g1 - g0 == self.m
+        exact, found = np.empty(self.records * k, np.uint32), []
+        for a, b in self.chunks:
+            t0, t1 = self.start[a], self.start[b]
+            owner, segment = self._owner(a, b), self.segment[t0:t1].astype(np.int64)
+            inside = slice(None) if all_of_them else np.flatnonzero((segment >= g0) & (segment < g1))
+            owner, segment, value = owner[inside], segment[inside], _value(self.token[t0:t1][inside])
+            cell = owner * k + (segment - g0)
+            sums = np.zeros((b - a) * k, _U)
+            np.add.at(sums, cell, value)
+            exact[a * k : b * k] = _mix(sums + np.tile(self.salt[g0:g1], b - a)) >> _U(32)
+            less = _mix(sums[cell] - value + self.salt[segment]) >> _U(32)
+            found.append(((owner + a).astype(np.uint32), (cell + a * k).astype(np.uint32), less.astype(np.uint32)))
+        record, cell, less = (np.concatenate(x) for x in zip(*found))
+        return exact, record, cell, less
+
+
+def _counted(keys: np.ndarray, shift: int, slots: int) -> np.ndarray:
+    """How many keys fall into each slot."""
+    out = np.zeros(slots, np.int32)
+    for x in range(0, len(keys), _CHUNK):
+        out += np.bincount(keys[x : x + _CHUNK] >> shift, minlength=slots).astype(np.int32)
+    return out
+
+
+def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token: np.ndarray, threshold: float, spent: dict | None = None, chunk: int = 2_000_000, at_once: int = 6_000_000, bands: tuple[int, int] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of records of a bucket that may be similar within its part. Records come in the order of ``size``, their shingles
-    in the part; ``total`` are their shingles altogether, ``held`` how many of the flat ``token`` (fingerprints) are theirs."""
+    in the part; ``total`` are their shingles altogether, ``held`` how many of the flat ``token`` (fingerprints) are theirs.
+
+    A band with more than ``at_once`` shingles is worked through in groups of segments, for only segments of one place are
+    compared: costs first, group by group, then the units of each group. ``bands`` (i, n): every n-th band, from the i-th."""
     if not len(size):
         return
     start = np.concatenate([[0], np.cumsum(held)])
-    owner = np.repeat(np.arange(len(size)), held)
     share = (1 - threshold) / (1 + threshold)
-    values = _value(token)
-    for low, high in _bands(int(size[-1])):
+    for low, high in list(_bands(int(size[-1])))[bands[0] :: bands[1]]:
         s0, s1 = np.searchsorted(size, [low, high + 1])
         l1 = int(np.searchsorted(size, int(high / threshold + 1e-9) + 1))
         small, large = int(s1 - s0), int(l1 - s0)
         if not small or large < 2:
             continue
         m = max(1, int(np.ceil(_SEGMENTS * (int(_most(threshold, high)) + 1))))
-        record, value = owner[start[s0] : start[l1]] - s0, values[start[s0] : start[l1]]
-        segments = _Segments(record, value, large, m, high)
-        exact, less, cell = segments.contents, segments.deletions(), segments.cell
-        mine = int(start[s1] - start[s0])  # tokens of the smaller records
-        # lengths of lists, counted in slots: those of equal contents, and those reached by one deletion on either side
-        shift = _U(64 - max(10, min(24, int(np.ceil(np.log2(len(less) + len(exact) + 4))))))
-        at_exact, at_less = (exact >> shift).astype(np.int64), (less >> shift).astype(np.int64)
-        slots = 1 << (64 - int(shift))
-        n_exact, n_less = np.bincount(at_exact, minlength=slots), np.bincount(at_less, minlength=slots)
-        one = n_exact[at_exact[: small * m]]
-        reached = n_exact[at_less[:mine]]
-        two = n_less[at_exact[: small * m]] + np.bincount(cell[:mine], reached, small * m).astype(np.int64)
-        # a second unit comes after the first of its segment, so it must not be cheaper
-        cost = np.concatenate([one.reshape(small, m) * 2, np.maximum(one, two).reshape(small, m) * 2 + 1], axis=1)
-        rank = np.empty(cost.shape, np.int64)
-        np.put_along_axis(rank, np.argsort(cost, axis=1, kind="stable"), np.arange(2 * m)[None, :], 1)
-        take = rank < (_most(threshold, size[s0:s1]) + 1)[:, None]
-        first, second = take[:, :m].ravel(), take[:, m:].ravel()
-        cells, cells2 = np.flatnonzero(first), np.flatnonzero(second)
-        dropped = np.flatnonzero(second[cell[:mine]] & (reached > 0))
-        asked = np.zeros(slots, bool)
-        asked[at_exact[cells]] = True
-        asked[at_less[dropped]] = True
-        e = np.flatnonzero(asked[at_exact])
-        e_order, e_keys, e_first, e_count = _runs(exact[e])
-        asked[:] = False
-        asked[at_exact[cells2]] = True
-        d = np.flatnonzero(asked[at_less])
-        d_order, d_keys, d_first, d_count = _runs(less[d])
         words = 1 << max(2, int(np.ceil(np.log2(high / 16))))
-        sketch = _sketches(record, value, large, min(words, 1024))
-        if spent is not None:
-            spent["one"] = spent.get("one", 0) + len(cells) - len(cells2)
-            spent["two"] = spent.get("two", 0) + len(cells2)
-        lists = (
-            (cells // m, exact[cells], e_keys, e_first, e_count, e[e_order] // m),
-            (cells2 // m, exact[cells2], d_keys, d_first, d_count, record[d[d_order]]),
-            (record[dropped], less[dropped], e_keys, e_first, e_count, e[e_order] // m),
-        )
-        for who, asks, keys, places, counts, entries in lists:
-            if not len(keys) or not len(who):
-                continue
-            i = np.minimum(np.searchsorted(keys, asks), len(keys) - 1)
-            hit = keys[i] == asks
-            who, places, width = who[hit], places[i[hit]], counts[i[hit]]
-            ends, at = np.cumsum(width), 0
-            while at < len(who):
-                stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
-                a, b = np.repeat(who[at:stop], width[at:stop]), entries[_slices(places[at:stop], width[at:stop])]
-                at = stop
-                ok = b > a
-                a, b = a[ok] + s0, b[ok] + s0
-                ok = (size[a] >= threshold * size[b] - 1e-9) & (np.minimum(total[a], total[b]) >= threshold * np.maximum(total[a], total[b]) - 1e-9)
-                a, b = a[ok], b[ok]
-                step = max(1, chunk // sketch.shape[1])
-                keep = [np.zeros(0, np.int64)]
-                for x in range(0, len(a), step):
-                    differ = np.bitwise_count(sketch[a[x : x + step] - s0] ^ sketch[b[x : x + step] - s0]).sum(1, dtype=np.int64)
-                    keep.append(x + np.flatnonzero(differ <= share * (size[a[x : x + step]] + size[b[x : x + step]]) + 1e-9))
-                k = np.concatenate(keep)
-                pair = _distinct(a[k] * np.int64(len(size)) + b[k])
-                yield pair // len(size), pair % len(size)
+        band = _Band(start, token, int(s0), l1, m, high, min(words, 1024))
+        n_groups = min(m, max(1, -(-len(band.token) // at_once)))
+        groups = [(g * m // n_groups, (g + 1) * m // n_groups) for g in range(n_groups)]
+        shift = 32 - max(10, min(24, int(np.ceil(np.log2((len(band.token) + large * m) / n_groups + 4)))))
+        slots = 1 << (32 - shift)
+        # lengths of lists, counted in slots: those of equal contents, and those reached by one deletion on either side
+        cost = np.empty((small, 2 * m), np.int32)
+        for g0, g1 in groups:
+            k = g1 - g0
+            exact, record, cell, less = made = band.contents(g0, g1)
+            n_exact, n_less = _counted(exact, shift, slots), _counted(less, shift, slots)
+            mine = int(np.searchsorted(record, small))  # shingles of the smaller records
+            one = n_exact[exact[: small * k] >> shift].reshape(small, k)
+            two = np.zeros(small * k, np.int64)
+            np.add.at(two, cell[:mine], n_exact[less[:mine] >> shift])
+            two = (two + n_less[exact[: small * k] >> shift]).reshape(small, k)
+            # a second unit comes after the first of its segment, so it must not be cheaper
+            cost[:, g0:g1] = np.minimum(one, 1 << 29) * 2
+            cost[:, m + g0 : m + g1] = np.minimum(np.maximum(one, two), 1 << 29) * 2 + 1
+        take = np.empty((small, 2 * m), bool)
+        for x in range(0, small, max(1, _CHUNK // m)):
+            part = slice(x, x + max(1, _CHUNK // m))
+            rank = np.empty(cost[part].shape, np.int64)
+            np.put_along_axis(rank, np.argsort(cost[part], axis=1, kind="stable"), np.arange(2 * m)[None, :], 1)
+            take[part] = rank < (_most(threshold, size[s0:s1][part]) + 1)[:, None]
+        del cost
+        for g0, g1 in groups:
+            k = g1 - g0
+            exact, record, cell, less = made if n_groups == 1 else band.contents(g0, g1)
+            made = None
+            n_exact = n_exact if n_groups == 1 else _counted(exact, shift, slots)
+            mine = int(np.searchsorted(record, small))
+            first, second = take[:, g0:g1].ravel(), take[:, m + g0 : m + g1].ravel()
+            cells, cells2 = np.flatnonzero(first), np.flatnonzero(second)
+            dropped = np.flatnonzero(second[cell[:mine]])
+            dropped = dropped[n_exact[less[dropped] >> shift] > 0]
+            asked = np.zeros(slots, bool)
+            asked[exact[cells] >> shift] = True
+            asked[less[dropped] >> shift] = True
+            e = np.flatnonzero(asked[exact >> shift])
+            e_records, e_keys, e_first, e_count = _runs(exact[e], e // k)
+            asked[:] = False
+            asked[exact[cells2] >> shift] = True
+            d = np.flatnonzero(asked[less >> shift])
+            d_records, d_keys, d_first, d_count = _runs(less[d], record[d])
+            if spent is not None:
+                spent["one"] = spent.get("one", 0) + len(cells) - len(cells2)
+                spent["two"] = spent.get("two", 0) + len(cells2)
+            lists = (
+                (cells // k, exact[cells], e_keys, e_first, e_count, e_records),
+                (cells2 // k, exact[cells2], d_keys, d_first, d_count, d_records),
+                (record[dropped].astype(np.int64), less[dropped], e_keys, e_first, e_count, e_records),
+            )
+            del exact, record, cell, less, e, d
+            for who, asks, keys, places, counts, entries in lists:
+                if not len(keys) or not len(who):
+                    continue
+                i = np.minimum(np.searchsorted(keys, asks), len(keys) - 1)
+                hit = keys[i] == asks
+                who, places, width = who[hit], places[i[hit]], counts[i[hit]]
+                ends, at = np.cumsum(width), 0
+                while at < len(who):
+                    stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
+                    a, b = np.repeat(who[at:stop], width[at:stop]), entries[_slices(places[at:stop], width[at:stop])].astype(np.int64)
+                    at = stop
+                    ok = b > a
+                    a, b = a[ok] + s0, b[ok] + s0
+                    ok = (size[a] >= threshold * size[b] - 1e-9) & (np.minimum(total[a], total[b]) >= threshold * np.maximum(total[a], total[b]) - 1e-9)
+                    a, b = a[ok], b[ok]
+                    step = max(1, chunk // band.sketch.shape[1])
+                    keep = [np.zeros(0, np.int64)]
+                    for x in range(0, len(a), step):
+                        differ = np.bitwise_count(band.sketch[a[x : x + step] - s0] ^ band.sketch[b[x : x + step] - s0]).sum(1, dtype=np.int64)
+                        keep.append(x + np.flatnonzero(differ <= share * (size[a[x : x + step]] + size[b[x : x + step]]) + 1e-9))
+                    kept = np.concatenate(keep)
+                    pair = _distinct(a[kept] * np.int64(len(size)) + b[kept])
+                    yield pair // len(size), pair % len(size)
 
 
 _ROW = np.dtype([("doc", "<i8"), ("total", "<u4"), ("size", "<u4"), ("held", "<u4")])
 
 
-def _divisions(size: np.ndarray, held: np.ndarray, token: np.ndarray, divisions: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """(record, division): where the records of a part go if their bucket is divided. In each band a record is in reach of, every
-    segment sends it to the division of its contents: a similar record has one segment like it at least."""
-    order = np.argsort(size, kind="stable")
-    start = np.cumsum(held) - held
-    flat = token[_slices(start[order], held[order])]
-    size, held = size[order], held[order]
-    first, owner, values = np.concatenate([[0], np.cumsum(held)]), np.repeat(np.arange(len(size)), held), _value(flat)
-    got = []
-    for low, high in _bands(int(size[-1]) if len(size) else 0):
-        a, b = np.searchsorted(size, [low, int(high / threshold + 1e-9) + 1])
-        if a == b:
-            continue
-        m = int(_most(threshold, high)) + 1
-        contents = _Segments(owner[first[a] : first[b]] - a, values[first[a] : first[b]], int(b - a), m, high).contents
-        got.append(np.repeat(np.arange(a, b), m) * divisions + (contents % _U(divisions)).astype(np.int64))
-    keys = _distinct(np.concatenate(got)) if got else np.zeros(0, np.int64)
-    return order[keys // divisions], keys % divisions
-
-
-def _pack(ids: np.ndarray, tok: np.ndarray, sizes: np.ndarray, threshold: float, divisions: int) -> Iterator[tuple[int, bytes]]:
+def _pack(ids: np.ndarray, tok: np.ndarray, sizes: np.ndarray, threshold: float) -> Iterator[tuple[int, bytes]]:
     """(bucket, blob) of a batch of records: heads of the records in the bucket, then their fingerprints, two bytes each."""
     mixed = _mix(tok)
     record = np.repeat(np.arange(len(sizes)), sizes).astype(_U)
@@ -266,40 +296,52 @@ def _pack(ids: np.ndarray, tok: np.ndarray, sizes: np.ndarray, threshold: float,
         key = found[np.concatenate([[True], found[1:] != found[:-1]])]
         token = (key & _U(0xFFFF)).astype("<u2")
         held = np.bincount((key >> _U(16)).astype(np.int64), minlength=len(sizes))
-        there = np.flatnonzero(held)
-        if divisions == 1:
-            routes = [(0, there)]
-        else:
-            rows, division = _divisions(size[there], held[there], token, divisions, threshold)
-            routes = [(int(d), there[rows[division == d]]) for d in np.unique(division)]
-        start = np.cumsum(held) - held
-        for d, docs in routes:
-            head = np.empty(len(docs), _ROW)
-            head["doc"], head["total"], head["size"], head["held"] = ids[docs], sizes[docs], size[docs], held[docs]
-            yield p * divisions + d, np.uint32(len(docs)).tobytes() + head.tobytes() + token[_slices(start[docs], held[docs])].tobytes()
-
-
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """ids, totals, sizes, held and flat tokens of the records in the order of their sizes; copies folded into one."""
-    heads, tokens = [], []
-    for blob in blobs:
-        n = int(np.frombuffer(blob, np.uint32, 1)[0])
-        heads.append(np.frombuffer(blob, _ROW, n, 4))
-        tokens.append(np.frombuffer(blob, "<u2", -1, 4 + n * _ROW.itemsize))
-    head, flat = np.concatenate(heads), np.concatenate(tokens)
-    ids, first = np.unique(head["doc"], return_index=True)
-    start = (np.cumsum(head["held"].astype(np.int64)) - head["held"])[first]
-    head = head[first]
-    order = np.argsort(head["size"], kind="stable")
-    head, start = head[order], start[order]
-    held = head["held"].astype(np.int64)
-    return head["doc"].astype(np.int64), head["total"].astype(np.int64), head["size"].astype(np.int64), held, flat[_slices(start, held)]
-
-
-def _pairs(blobs: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        docs = np.flatnonzero(held)
+        head = np.empty(len(docs), _ROW)
+        head["doc"], head["total"], head["size"], head["held"] = ids[docs], sizes[docs], size[docs], held[docs]
+        yield p, np.uint32(len(docs)).tobytes() + head.tobytes() + token.tobytes()
+
+
+def _within(blob, threshold: float, bands: tuple[int, int]):
+    """What a blob holds of the records in reach of the bands asked for."""
+    if bands[1] == 1:
+        return blob
+    n = int(np.frombuffer(blob, np.uint32, 1)[0])
+    head, tokens = np.frombuffer(blob, _ROW, n, 4), np.frombuffer(blob, "<u2", -1, 4 + n * _ROW.itemsize)
+    reach = np.zeros(int(head["size"].max()) + 1, bool)
+    for low, high in list(_bands(len(reach) - 1))[bands[0] :: bands[1]]:
+        reach[low : int(high / threshold + 1e-9) + 1] = True
+    mine, held = np.flatnonzero(reach[head["size"]]), head["held"].astype(np.int64)
+    return np.uint32(len(mine)).tobytes() + head[mine].tobytes() + tokens[_slices((np.cumsum(held) - held)[mine], held[mine])].tobytes()
+
+
+def _unpack(blobs: list) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids, totals, sizes, held and flat tokens of the records in the order of their sizes; copies folded into one. The list is
+    emptied on the way."""
+    counts = [int(np.frombuffer(blob, np.uint32, 1)[0]) for blob in blobs]
+    heads = [np.frombuffer(blob, _ROW, n, 4) for blob, n in zip(blobs, counts)]
+    first = np.cumsum([0, *counts])
+    head = np.concatenate(heads)
+    del heads
+    chosen = np.unique(head["doc"], return_index=True)[1]
+    chosen = chosen[np.argsort(head["size"][chosen], kind="stable")]
+    held = head["held"][chosen].astype(np.int64)
+    to = np.full(len(head), -1, np.int64)  # where the tokens of each row go
+    to[chosen] = np.cumsum(held) - held
+    flat = np.empty(int(held.sum()), "<u2")
+    for i, n in enumerate(counts):
+        tokens, rows = np.frombuffer(blobs[i], "<u2", -1, 4 + n * _ROW.itemsize), head["held"][first[i] : first[i + 1]].astype(np.int64)
+        mine = np.flatnonzero(to[first[i] : first[i + 1]] >= 0)
+        flat[_slices(to[first[i] : first[i + 1]][mine], rows[mine])] = tokens[_slices((np.cumsum(rows) - rows)[mine], rows[mine])]
+        blobs[i] = None
+    blobs.clear()
+    return head["doc"][chosen].astype(np.int64), head["total"][chosen].astype(np.int64), head["size"][chosen].astype(np.int64), held, flat
+
+
+def _pairs(blobs: list, threshold: float, at_once: int, bands: tuple[int, int] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of ids that may be similar within the part of a bucket."""
     ids, total, size, held, token = _unpack(blobs)
-    for a, b in _bucket_pairs(total, size, held, token, threshold):
+    for a, b in _bucket_pairs(total, size, held, token, threshold, at_once=at_once, bands=bands):
         a, b = ids[a], ids[b]
         yield np.minimum(a, b), np.maximum(a, b)
 
@@ -351,7 +393,7 @@ def normalized_text(*columns: str):
 
 
 def near_duplicate_classes(
-    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, records_per_bucket: int = 200_000,
+    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, records_per_bucket: int = 1_000_000, at_once: int = 6_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has record_id and class_id, one row per record with a text; records of equal
     text form a class. links has class_a < class_b and similarity, one row per pair of classes with Jaccard similarity
@@ -360,12 +402,16 @@ def near_duplicate_classes(
     ``text`` is the column expression compared. Records whose text is null or shorter than ``width`` have no shingles:
     they are members of a class without links. Repeated ids, other columns and empty tables do no harm; whole texts
     are compared however long.
+
+    ``records_per_bucket`` and ``at_once`` only bound the memory of a task, neither what is compared nor what is shuffled: beyond the
+    first a bucket is read by several tasks, each with its share of the bands of sizes; the second is the number
+    of shingles of a band that are worked on at a time.
     """
     base = spread(records).select(F.col(id_col).cast("bigint").alias("record_id"), text.alias("t")).where("t is not null")
     base = base.select("record_id", "t", F.xxhash64("t").alias("class_id"))
-    divisions = max(1, -(-records.count() // records_per_bucket))
-    buckets = (_PARTS + 1) * divisions
-    names_of = _partition_keys(records.sparkSession, buckets)
+    count = records.count()
+    shares = 1 if count <= records_per_bucket else -(-2 * count // records_per_bucket)
+    names_of = _partition_keys(records.sparkSession, _PARTS + 1)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -373,30 +419,29 @@ def near_duplicate_classes(
             texts = whole.column(1).take(pa.array(where)).to_pylist()
             for cut in _batches([len(t) for t in texts]):
                 tok, sizes = shingle_sets(texts[cut], width)
-                packed = list(_pack(ids[cut], tok, sizes, threshold, divisions))
+                packed = list(_pack(ids[cut], tok, sizes, threshold))
                 names = np.array([name for name, _ in packed], np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(names_of[names], pa.int32()), pa.array([blob for _, blob in packed], pa.binary())], ["bucket", "blob"])
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def match(share: int):
         def close(blobs):
-            for a, b in _pairs(blobs, threshold):
-                pair = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0], pa.int64()), pa.array(pair[:, 1], pa.int64())], ["class_a", "class_b"])
-
-        current, blobs = None, []
-        for batch in batches:
-            for name, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if name != current and blobs:
-                    yield from close(blobs)
-                    blobs = []
-                current = name
-                blobs.append(blob)
-        if blobs:
-            yield from close(blobs)
-
-    packed = base.select("class_id", "t").mapInArrow(sign, "bucket int, blob binary")
-    packed = packed.repartition(buckets, "bucket").sortWithinPartitions("bucket")
-    pairs = packed.mapInArrow(match, "class_a bigint, class_b bigint")
+            for a, b in _pairs(blobs, threshold, at_once, (share, shares)):
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["class_a", "class_b"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            buckets: dict[int, list] = {}
+            for batch in batches:
+                for name, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    buckets.setdefault(name, []).append(_within(blob.as_buffer(), threshold, (share, shares)))
+            batch = blob = None
+            while buckets:
+                yield from close(buckets.popitem()[1])
+
+        return run
+
+    packed = base.select("class_id", "t").mapInArrow(sign, "bucket int, blob binary").repartition(_PARTS + 1, "bucket")
+    # every share reads the same shuffled buckets, which are written once
+    pairs = functools.reduce(DataFrame.union, [packed.mapInArrow(match(i), "class_a bigint, class_b bigint") for i in range(shares)])
     candidates = materialize(pairs.distinct(), "candidates")
 
     needed = candidates.select(F.explode(F.array("class_a", "class_b")).alias("class_id")).distinct()

@@ -139,3 +139,22 @@ def test_groups_of_every_article(spark, tmp_path):
     spark.createDataFrame(rows, "id bigint, title string, content_text string").write.parquet(f"{tmp_path}/articles.parquet")
     got = {r.record_id: r for r in p5_groups(spark, str(tmp_path)).collect()}
     assert sorted(got) == [1, 2, 3, 4, 5] and got[1].group_id == got[2].group_id and len({r.group_id for r in got.values()}) == 4
+
+
+def test_what_is_shuffled_does_not_grow_with_divided_buckets(spark):
+    """Each shingle is written once, however many tasks share a bucket; groups of segments find the same pairs."""
+    store, scheduler = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._jsc.sc().dagScheduler()
+    texts = corpus(200, 6)
+    want = brute(texts, 0.7)
+    sent = {}
+    for kw in ({}, {"records_per_bucket": 40}, {"at_once": 500}, {"records_per_bucket": 60, "at_once": 300}):
+        first = int(str(scheduler.nextStageId()))
+        assert classes(spark, texts, **kw)[1] == want
+        total = 0
+        for stage in range(first, int(str(scheduler.nextStageId()))):
+            try:
+                total += store.lastStageAttempt(stage).shuffleWriteBytes()
+            except Exception:  # a skipped stage
+                continue
+        sent[str(kw)] = total
+    assert max(sent.values()) < 1.5 * sent["{}"], sent
