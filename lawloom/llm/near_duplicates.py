@@ -93,7 +93,10 @@ def shingle_sets(texts: list[str], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _runs(keys: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(entries by key, distinct keys, their first places, their counts); both of 32 bits, sorted as one number of 64."""
-    both = np.sort((keys.astype(_U) << _U(32)) | entries.astype(_U))
+    both = keys.astype(_U)
+    both <<= _U(32)
+    both |= entries.astype(np.uint32)
+    both.sort()
     k = (both >> _U(32)).astype(np.uint32)
     first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64)
     return both.astype(np.uint32), k[first], first, np.diff(np.append(first, len(k)))
@@ -154,7 +157,9 @@ class _Band:
         """Of segments ``g0`` to ``g1``: 32 bits of the contents of each cell (record and segment), empty ones included; and for each
         shingle there its record, its cell and the contents of the cell without it."""
         k, all_of_them = g1 - g0, g1 - g0 == self.m
-        exact, found = np.empty(self.records * k, np.uint32), []
+        exact, at = np.empty(self.records * k, np.uint32), 0
+        held = len(self.token) if all_of_them else sum(int(np.count_nonzero((x >= g0) & (x < g1))) for x in np.array_split(self.segment, len(self.chunks)))
+        record, all_cells, all_less = np.empty(held, np.uint32), np.empty(held, np.uint32), np.empty(held, np.uint32)
         for a, b in self.chunks:
             t0, t1 = self.start[a], self.start[b]
             owner, segment = self._owner(a, b), self.segment[t0:t1].astype(np.int64)
@@ -164,21 +169,21 @@ class _Band:
             sums = np.zeros((b - a) * k, _U)
             np.add.at(sums, cell, value)
             exact[a * k : b * k] = _mix(sums + np.tile(self.salt[g0:g1], b - a)) >> _U(32)
-            less = _mix(sums[cell] - value + self.salt[segment]) >> _U(32)
-            found.append(((owner + a).astype(np.uint32), (cell + a * k).astype(np.uint32), less.astype(np.uint32)))
-        record, cell, less = (np.concatenate(x) for x in zip(*found))
-        return exact, record, cell, less
+            here = slice(at, at := at + len(value))
+            record[here], all_cells[here] = owner + a, cell + a * k
+            all_less[here] = _mix(sums[cell] - value + self.salt[segment]) >> _U(32)
+        return exact, record, all_cells, all_less
 
 
 def _counted(keys: np.ndarray, shift: int, slots: int) -> np.ndarray:
     """How many keys fall into each slot."""
     out = np.zeros(slots, np.int32)
     for x in range(0, len(keys), _CHUNK):
-        out += np.bincount(keys[x : x + _CHUNK] >> shift, minlength=slots).astype(np.int32)
+        np.add.at(out, keys[x : x + _CHUNK] >> shift, np.int32(1))
     return out
 
 
-def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token: np.ndarray, threshold: float, spent: dict | None = None, chunk: int = 2_000_000, at_once: int = 6_000_000, bands: tuple[int, int] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token: np.ndarray, threshold: float, spent: dict | None = None, chunk: int = 1_000_000, at_once: int = 3_000_000, bands: tuple[int, int] = (0, 1)) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of records of a bucket that may be similar within its part. Records come in the order of ``size``, their shingles
     in the part; ``total`` are their shingles altogether, ``held`` how many of the flat ``token`` (fingerprints) are theirs.
 
@@ -205,6 +210,7 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
         cost = np.empty((small, 2 * m), np.int32)
         for g0, g1 in groups:
             k = g1 - g0
+            made = exact = record = cell = less = n_exact = n_less = one = two = None  # before the next ones are made
             exact, record, cell, less = made = band.contents(g0, g1)
             n_exact, n_less = _counted(exact, shift, slots), _counted(less, shift, slots)
             mine = int(np.searchsorted(record, small))  # shingles of the smaller records
@@ -224,9 +230,11 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
         del cost
         for g0, g1 in groups:
             k = g1 - g0
-            exact, record, cell, less = made if n_groups == 1 else band.contents(g0, g1)
+            if n_groups > 1:
+                made = exact = record = cell = less = n_exact = n_less = lists = None
+            exact, record, cell, less = made or band.contents(g0, g1)
             made = None
-            n_exact = n_exact if n_groups == 1 else _counted(exact, shift, slots)
+            n_exact = _counted(exact, shift, slots) if n_exact is None else n_exact
             mine = int(np.searchsorted(record, small))
             first, second = take[:, g0:g1].ravel(), take[:, m + g0 : m + g1].ravel()
             cells, cells2 = np.flatnonzero(first), np.flatnonzero(second)
@@ -249,13 +257,11 @@ def _bucket_pairs(total: np.ndarray, size: np.ndarray, held: np.ndarray, token:
                 (cells2 // k, exact[cells2], d_keys, d_first, d_count, d_records),
                 (record[dropped].astype(np.int64), less[dropped], e_keys, e_first, e_count, e_records),
             )
-            del exact, record, cell, less, e, d
-            for who, asks, keys, places, counts, entries in lists:
-                if not len(keys) or not len(who):
-                    continue
+            del exact, record, cell, less, e, d, dropped
+            for who, asks, keys, starts, counts, entries in ((w[x : x + _CHUNK // 2], q[x : x + _CHUNK // 2], *index) for w, q, *index in lists if len(index[0]) for x in range(0, len(w), _CHUNK // 2)):
                 i = np.minimum(np.searchsorted(keys, asks), len(keys) - 1)
                 hit = keys[i] == asks
-                who, places, width = who[hit], places[i[hit]], counts[i[hit]]
+                who, places, width = who[hit], starts[i[hit]], counts[i[hit]]
                 ends, at = np.cumsum(width), 0
                 while at < len(who):
                     stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + chunk, "right")))
@@ -393,7 +399,7 @@ def normalized_text(*columns: str):
 
 
 def near_duplicate_classes(
-    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, records_per_bucket: int = 1_000_000, at_once: int = 6_000_000,
+    records: DataFrame, id_col: str, text, width: int = 5, threshold: float = 0.7, records_per_bucket: int = 1_000_000, at_once: int = 3_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """(membership, links): membership has record_id and class_id, one row per record with a text; records of equal
     text form a class. links has class_a < class_b and similarity, one row per pair of classes with Jaccard similarity
