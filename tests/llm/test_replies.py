@@ -112,3 +112,24 @@ def test_language_named_late_in_a_prompt_without_sources():
     from lawloom.llm.reply_defects import asked_language
 
     assert asked_language("다음 글을 요약한다. " * 60 + "Answer in English.") == "en"
+
+
+def test_cutoffs_come_from_every_pair(spark, monkeypatch):
+    """What validates the cutoffs counts all good and all declined pairs, wherever the rows lie."""
+    refused = json.dumps({"choices": [{"message": {"content": None, "refusal": "이 요청은 처리하지 않습니다."}, "finish_reason": "stop"}]})
+    rows = [(i, "completed", PROMPT, envelope(GOOD.replace("늘었다", f"{i}건 늘었다"))) for i in range(700)]
+    rows += [(1000 + i, "completed", PROMPT.replace("Korean", "English"), ENGLISH.replace("264", str(i))) for i in range(70)] + [(2000 + i, "completed", PROMPT, refused) for i in range(200)]
+    df = spark.createDataFrame(rows, "id bigint, llm_status string, llm_prompt string, llm_response_raw string")
+    seen, best = [], R.best_cutoffs
+    monkeypatch.setattr(R, "best_cutoffs", lambda model, cases: seen.append(cases) or best(model, cases))
+    for parts in (2, 5):
+        R.reply_defects(df.repartition(parts))
+    total = {case: sum(n for (c, d, _), n in seen[0].items() if c == case and d == "empty") for case in ("", *R.DEFECTS)}
+    assert total == {"": 770, "empty": 770, "refusal": 200, "copy": 770, "truncated": 770, "other_language": 770} and seen[0] == seen[1]
+
+
+def test_levels_without_the_envelope():
+    habits = R.Habits(frozenset(), 4, 120)
+    for _, raw in CASES:
+        answer = R.unwrap(raw or "")[0]
+        assert R._bare_levels(R.levels(PROMPT, raw, habits), answer) in (None, R.levels(PROMPT, answer, habits))
